@@ -44,7 +44,8 @@ def with_halo(
     own = F.struct(*segment)
     following = F.array_distinct(F.array(*[F.lead(own, i).over(along) for i in range(1, lookback + 1)]))
     halo = (
-        tails.withColumn("_to", F.explode(following))
+        tails.withColumn("_to", following)
+        .withColumn("_to", F.explode("_to"))
         .filter(F.col("_to").isNotNull() & (F.col("_to") != own))
         .withColumns({c: F.col(f"_to.{c}") for c in segment})
         .drop("_to")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.dates import month_start
 from ..functions.numbers import price_change, turnover
 from ..schema import ITEM_KEYS, MONTH_KEYS, MONTHLY, TOTALS
 from .daily import earliest, latest
@@ -81,11 +82,20 @@ def price_days(daily: DataFrame, min_days: int | None = None) -> DataFrame:
 
 
 def price_days_join(daily: DataFrame, min_days: int | None = None) -> DataFrame:
-    """Daily prices with every month in which the series had that price."""
+    """Daily prices, each with the months in which its series had that price.
+
+    The months stay in one array per row, at most one entry per calendar month; explode it
+    for a row per month.
+    """
     keys = [*ITEM_KEYS, "price"]
-    months = price_days(daily, min_days).select(*keys, "year", "month")
+    month = F.date_format(month_start("year", "month"), "yyyy-MM")
+    months = (
+        price_days(daily, min_days)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_set(month)).alias("months"))
+    )
     return daily.select(*ITEM_KEYS, "dt", "price").join(months, keys, "inner").select(
-        *ITEM_KEYS, "dt", "price", "year", "month"
+        *ITEM_KEYS, "dt", "price", "months"
     )
 
 

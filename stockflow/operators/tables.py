@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,7 +34,7 @@ def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Drop rows that miss any of the columns; grouping keys go through here."""
-    return df.na.drop(subset=list(columns))
+    return df.filter(reduce(and_, [F.col(c).isNotNull() for c in columns]))
 
 
 def union_all(frames: Iterable[DataFrame | None]) -> DataFrame | None:

@@ -7,11 +7,6 @@ MONTH_KEYS = ["item_code", "warehouse", "year", "month"]
 DAY_KEYS = ["item_code", "warehouse", "dt"]
 LOAD_ORDER = ["src_file", "src_row"]
 
-GRID = """
-    src_file string, src_row int, warehouse string, file_ts timestamp_ntz,
-    a string, b string, c string, d string, e string, f string
-"""
-
 SNAPSHOT = """
     dt timestamp_ntz, item_name string, stock double, price double, manufacturer string,
     item_code string, warehouse string, src_file string, src_row int

@@ -14,17 +14,17 @@ import zipfile
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import as_of_source, resolve_as_of
 from ..functions.numbers import to_number
 from ..functions.text import strip_ws
 from ..operators.tables import union_all
-from ..schema import GRID
 
 CELLS = "a string, b string, c string, d string, e string, f string"
-DECODED = f"src_file string, file_ts timestamp_ntz, src_row int, {CELLS}, error string"
+DECODED = f"src_file string, file_ts timestamp_ntz, as_of_cell string, src_row int, {CELLS}, error string"
 LETTERS = "abcdef"
 
 # Where the date and the item lines stand in a sheet.
@@ -133,50 +133,63 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[str, str | None]]]:
                 node.clear()
 
 
-def _workbook_rows(path: str, content: bytes) -> Iterator[dict]:
-    """Date row and item rows of a workbook; a file that fails yields its error instead."""
+def _decode_file(path: str, content: bytes) -> dict[str, list]:
+    """Columns of one workbook: its date row and item rows, or its error as a single row.
+
+    A sheet holds at most 1,048,576 rows, which bounds what a task keeps. Nothing is given out
+    before the whole file is read, so a file that breaks off midway yields its error only.
+    """
+    columns = {name: [] for name in ("src_row", *LETTERS)}
+
+    def add(number: int | None, cells: Mapping[str, str | None]) -> None:
+        columns["src_row"].append(number)
+        for letter in LETTERS:
+            columns[letter].append(cells.get(letter))
+
     extension = posixpath.splitext(path)[1].lower()
+    error, header = None, {}
     if extension != ".xlsx":
-        yield {"error": f"unsupported {extension}"}
-        return
-    dated = False
-    try:
-        for number, cells in sheet_rows(content):
-            if number == DATE_ROW:
-                dated = True
-                yield {"src_row": number, **cells}
-            elif number >= FIRST_ITEM_ROW:
-                yield {"src_row": number, **cells}
-    except Exception as error:  # one broken file must not stop the others
-        yield {"error": f"{type(error).__name__}: {error}"}
-        return
-    if not dated:
-        yield {"src_row": DATE_ROW}
-
-
-def _decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [field.split()[0] for field in DECODED.split(",")]
+        error = f"unsupported {extension}"
+    else:
+        try:
+            for number, cells in sheet_rows(content):
+                if number == DATE_ROW:
+                    header = cells
+                elif number >= FIRST_ITEM_ROW:
+                    add(number, cells)
+        except Exception as failure:  # one broken file must not stop the others
+            error = f"{type(failure).__name__}: {failure}"
+            columns = {name: [] for name in columns}
+    add(None if error else DATE_ROW, header)
+    size = len(columns["src_row"])
+    return {**columns, "as_of_cell": [header.get("a")] * size, "error": [error] * size}
+
+
+def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(
+        [("src_file", pa.string()), ("file_ts", pa.timestamp("us")), ("as_of_cell", pa.string())]
+        + [("src_row", pa.int32())]
+        + [(name, pa.string()) for name in (*LETTERS, "error")]
+    )
     for files in batches:
-        rows = []
-        for path, stamp, content in zip(files["path"], files["file_ts"], files["content"]):
-            for row in _workbook_rows(path, content):
-                rows.append({"src_file": path, "file_ts": stamp, **row})
-                if len(rows) >= _BATCH:
-                    yield pd.DataFrame(rows, columns=names).astype({"src_row": "Int32"})
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"src_row": "Int32"})
+        pending = {name: [] for name in schema.names}
+        for file in files.to_pylist():
+            sheet = _decode_file(file["path"], file["content"])
+            size = len(sheet["src_row"])
+            sheet |= {"src_file": [file["path"]] * size, "file_ts": [file["file_ts"]] * size}
+            for name, values in sheet.items():
+                pending[name].extend(values)
+            if len(pending["src_row"]) >= _BATCH:
+                yield from pa.Table.from_pydict(pending, schema).to_batches(_BATCH)
+                pending = {name: [] for name in schema.names}
+        yield from pa.Table.from_pydict(pending, schema).to_batches(_BATCH)
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
-    """Cell grid of files as the ``binaryFile`` source gives them.
-
-    A file that breaks off midway keeps its error row and loses its items in
-    ``snapshots_from_grid``, as one that cannot be opened at all.
-    """
+    """Cell grid of files as the ``binaryFile`` source gives them, the date cell on every row."""
     return files.select(
         "path", F.col("modificationTime").cast("timestamp_ntz").alias("file_ts"), "content"
-    ).mapInPandas(_decode, DECODED)
+    ).mapInArrow(_decode, DECODED)
 
 
 def scan_workbooks(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
@@ -185,58 +198,66 @@ def scan_workbooks(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
     return decode_workbooks(files).withColumn("warehouse", F.lit(warehouse))
 
 
-def _headers(grid: DataFrame) -> DataFrame:
-    """One row per file: its as-of time, which failed files do not get."""
-    header = F.when(F.col("src_row") == DATE_ROW, F.col("a"))
-    error = F.max("error") if "error" in grid.columns else F.lit(None).cast("string")
-    return grid.groupBy("src_file").agg(
-        F.max(header).alias("_cell"), F.max("file_ts").alias("_ts"), error.alias("_error")
+def _with_as_of_cell(grid: DataFrame) -> DataFrame:
+    """The file's date cell on every row.
+
+    Decoded grids carry it. For others the headers, one short row per file, are joined by file:
+    broadcast while they are small, otherwise split by Spark where a file holds many rows.
+    """
+    if "as_of_cell" in grid.columns:
+        return grid
+    headers = grid.filter(F.col("src_row") == DATE_ROW).groupBy("src_file").agg(
+        F.max("a").alias("as_of_cell")
     )
+    return grid.join(headers, "src_file", "left")
 
 
-def _code_text(cell: Column) -> Column:
+def _code_text(cell: Column | str) -> Column:
     """Code of a cell; a whole number loses its empty fraction."""
     return F.regexp_replace(strip_ws(cell), r"^(\d+)\.0$", "$1")
 
 
-def snapshots_from_grid(grid: DataFrame) -> DataFrame:
-    """Snapshot rows of a cell grid: item lines with a code, dated by their file.
+def _quantity(cell: str) -> Column:
+    """Number of a cell; a blank one counts as zero, an unreadable one is missing."""
+    blank = F.length(F.coalesce(strip_ws(cell), F.lit(""))) == 0
+    return F.when(blank, F.lit(0.0)).otherwise(to_number(cell))
 
-    The headers are one short row per file. Spark broadcasts them while they are small and
-    otherwise joins by file, where it can split a file that holds many rows.
-    """
-    headers = (
-        _headers(grid)
-        .filter(F.col("_error").isNull())
-        .select("src_file", resolve_as_of("_cell", "_ts").alias("dt"))
-    )
-    items = grid.filter((F.col("src_row") >= FIRST_ITEM_ROW) & F.col("f").isNotNull())
-    return items.join(headers, "src_file").select(
-        "dt",
-        F.col("b").alias("item_name"),
-        to_number("c", default=0.0).alias("stock"),
-        to_number("d", default=0.0).alias("price"),
-        F.col("e").alias("manufacturer"),
-        _code_text(F.col("f")).alias("item_code"),
-        "warehouse",
-        "src_file",
-        "src_row",
+
+def _is_item() -> Column:
+    return (F.col("src_row") >= FIRST_ITEM_ROW) & F.col("f").isNotNull()
+
+
+def snapshots_from_grid(grid: DataFrame) -> DataFrame:
+    """Snapshot rows of a cell grid: item lines with a code, dated by their file."""
+    return (
+        _with_as_of_cell(grid)
+        .filter(_is_item())
+        .select(
+            resolve_as_of("as_of_cell", "file_ts").alias("dt"),
+            F.col("b").alias("item_name"),
+            _quantity("c").alias("stock"),
+            _quantity("d").alias("price"),
+            F.col("e").alias("manufacturer"),
+            _code_text("f").alias("item_code"),
+            "warehouse",
+            "src_file",
+            "src_row",
+        )
     )
 
 
 def ingest_audit(grid: DataFrame) -> DataFrame:
     """Outcome per file: item lines read, where its date came from, and its error."""
-    item = (F.col("src_row") >= FIRST_ITEM_ROW) & F.col("f").isNotNull()
     error = F.max("error") if "error" in grid.columns else F.lit(None).cast("string")
-    counted = grid.groupBy("warehouse", "src_file").agg(
-        F.count_if(item).alias("item_lines"),
+    per_file = grid.groupBy("warehouse", "src_file").agg(
+        F.count_if(_is_item()).alias("item_lines"),
         F.max(F.when(F.col("src_row") == DATE_ROW, F.col("a"))).alias("_cell"),
         error.alias("error"),
     )
-    return counted.select(
+    return per_file.select(
         "warehouse",
         "src_file",
-        F.when(F.col("error").isNull(), F.col("item_lines")).otherwise(0).alias("item_lines"),
+        "item_lines",
         F.when(F.col("error").isNull(), as_of_source("_cell")).alias("date_source"),
         "error",
     )
@@ -252,13 +273,7 @@ def load_snapshots(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame
 
 
 def _scan_or_none(spark: SparkSession, path: str, warehouse: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
     try:
         return scan_workbooks(spark, path, warehouse)
     except AnalysisException:
         return None
-
-
-def empty_grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], GRID)
