@@ -23,14 +23,36 @@ def latest(column: str, rank: str = _RANK) -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(rank))).alias(column)
 
 
-def daily_snapshot(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
-    """One row per item, warehouse and time: each column's first present value in load order."""
+def daily_snapshot(
+    df: DataFrame, order: Sequence[str] = LOAD_ORDER, with_sum: bool = False
+) -> DataFrame:
+    """One row per item, warehouse and time: each column's first present value in load order.
+
+    ``with_sum`` adds the summed stock, from which ``rollup_of`` takes the daily file without
+    another pass over the snapshots.
+    """
     values = ["stock", "price", "item_name", "manufacturer"]
+    total = [_sum_of_stock().alias("stock_sum")] if with_sum else []
     return (
         require(df, DAY_KEYS)
         .select(*DAY_KEYS, *values, F.struct(*order).alias(_RANK))
         .groupBy(*DAY_KEYS)
-        .agg(*[earliest(c) for c in values])
+        .agg(*[earliest(c) for c in values], *total)
+    )
+
+
+def _sum_of_stock() -> Column:
+    return F.coalesce(F.sum("stock"), F.lit(0.0))
+
+
+def rollup_of(daily: DataFrame) -> DataFrame:
+    """The daily file of a daily frame that carries its summed stock."""
+    return daily.select(
+        "dt",
+        "item_code",
+        "warehouse",
+        F.col("stock_sum").alias("total_sold"),
+        F.col("price").alias("day_open_price"),
     )
 
 
@@ -45,7 +67,7 @@ def daily_rollup(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
         .select(*keys, "stock", "price", F.struct(*order).alias(_RANK))
         .groupBy(*keys)
         .agg(
-            F.coalesce(F.sum("stock"), F.lit(0.0)).alias("total_sold"),
+            _sum_of_stock().alias("total_sold"),
             earliest("price").alias("day_open_price"),
         )
     )

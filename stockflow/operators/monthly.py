@@ -39,10 +39,12 @@ def monthly_summary(net: DataFrame) -> DataFrame:
     """Sales, restocks, availability and prices per item, warehouse and month, in one aggregate.
 
     The input holds one row per item, warehouse and time, so its rows are its distinct days.
+    Its keys and time are present, hence its year and month: a filter on those two would reach
+    only one branch of the halo and cost it the shared exchange.
     """
     absolute, percent = price_change("open_price", "close_price")
     return (
-        require(net, MONTH_KEYS)
+        require(net, [*ITEM_KEYS, "dt"])
         .groupBy(*MONTH_KEYS)
         .agg(
             earliest("item_name", "dt"),

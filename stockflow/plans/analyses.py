@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.daily import daily_rollup, daily_snapshot
+from ..operators.daily import daily_snapshot, rollup_of
 from ..operators.flows import detect_transfers, net_of_transfers, with_flows
 from ..operators.identity import identity_conflicts
 from ..operators.monthly import item_totals, monthly_summary
@@ -15,6 +15,7 @@ from ..operators.spikes import find_spikes
 from ..operators.tables import clean_snapshots
 from ..schema import LOAD_ORDER
 from ..sources.tables import stage, write_csv, write_table
+from ..sources.workbooks import load_snapshots
 
 
 def run_month_analysis(
@@ -22,15 +23,15 @@ def run_month_analysis(
 ) -> dict[str, DataFrame]:
     """Every table of the month analysis.
 
-    With ``staged``, flows and the monthly fact are written once to the shared folder, since
-    several tables are read from each. Without it the plan stays lazy from end to end.
+    With ``staged``, the daily flows, the monthly fact and the totals are written once to the
+    shared folder, since several tables are read from each. Without it the plan stays lazy from
+    end to end. Snapshots are read twice: for the daily flows and for the identity check.
     """
     keep = stage if staged else (lambda df, name: df)
     cleaned = clean_snapshots(snapshots)
-    flows = keep(with_flows(daily_snapshot(cleaned, order)), "flows")
-    net = net_of_transfers(flows)
-    monthly = keep(monthly_summary(net), "monthly")
-    totals = item_totals(monthly)
+    flows = keep(with_flows(daily_snapshot(cleaned, order, with_sum=True)), "flows")
+    monthly = keep(monthly_summary(net_of_transfers(flows)), "monthly")
+    totals = keep(item_totals(monthly), "totals")
     return {
         "monthly": monthly,
         "transfers": detect_transfers(flows),
@@ -39,10 +40,15 @@ def run_month_analysis(
         "top_fast": top_fast(totals, top),
         "top_slow": top_slow(totals, top),
         "top_restocked": top_restocked(totals, top),
-        "daily_rollup": daily_rollup(cleaned, order),
+        "daily_rollup": rollup_of(flows),
     }
 
 
+def run_from_folders(spark: SparkSession, folders: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The month analysis of workbook folders, one per warehouse, each workbook decoded once."""
+    return run_month_analysis(stage(load_snapshots(spark, folders), "snapshots"))
+
+
 def write_month_analysis(tables: Mapping[str, DataFrame], path: str) -> None:
     """Write the tables below a folder: the monthly fact by month, the daily file as ordered CSV."""
     for name, df in tables.items():
