@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.dates import with_year_month
 from ..functions.numbers import price_differs, sold_restocked
 from ..functions.text import item_key
 from ..schema import LOAD_ORDER, NAME_DEFAULTS
 from .daily import daily_by_day
-from .flows import MONTH
-from .halo import drop_halo, segment_window, step, with_halo
+from .halo import step
 from .identity import NAME_KEYS, name_table
 from .tables import conform
 
@@ -29,19 +27,19 @@ def with_item_key(df: DataFrame) -> DataFrame:
 
 
 def _metrics(daily: DataFrame) -> DataFrame:
-    window = segment_window(SERIES_KEYS, MONTH, ["dt"])
-    rows = with_halo(with_year_month(daily), SERIES_KEYS, MONTH, ["dt"])
+    """Flows and flags along each series, which has at most one row per calendar day."""
+    window = Window.partitionBy(*SERIES_KEYS).orderBy("dt")
     sold, restocked = sold_restocked("_diff")
     moves = (F.col("sold") > 0) | (F.col("restocked") > 0)
-    return drop_halo(
-        rows.withColumns(
+    return (
+        daily.withColumns(
             {
                 "_diff": F.coalesce(step("stock", window), F.lit(0.0)),
                 "price_changed": price_differs("price", F.lag("price").over(window)),
             }
         )
-    ).withColumns({"sold": sold, "restocked": restocked}).withColumn(
-        "is_anomaly", moves & (F.col("_diff") == 0)
+        .withColumns({"sold": sold, "restocked": restocked})
+        .withColumn("is_anomaly", moves & (F.col("_diff") == 0))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.dates import with_year_month
 from ..functions.numbers import classify_day, exceeds, price_differs, sold_restocked
@@ -56,33 +56,39 @@ def item_series(
     """Stock, movements, spikes and price changes of a selection, recomputed after filtering.
 
     One series per warehouse, in which several items of one name follow each other by date
-    and key. With ``per_item`` each item has its own series; use it for whole tables, together
-    with ``require_any=False``.
+    and key; such a series has no bound and is windowed by month with a halo. With ``per_item``
+    each item has its own series of at most one row per calendar day; use it for whole tables,
+    together with ``require_any=False``.
     """
     chosen = _chosen(in_warehouses(without_anomalies(daily), warehouses), item, name, require_any)
-    keys = ["warehouse", "item_key"] if per_item else ["warehouse"]
-    order = ["dt"] if per_item else ["dt", "item_key"]
     columns = ["dt", "warehouse", "item_key", "canonical_name", "stock", "price"]
-    series = with_year_month(require(chosen, ["warehouse", "dt"]).select(*columns))
-    window = segment_window(keys, MONTH, order)
-
+    series = require(chosen, ["warehouse", "dt"]).select(*columns)
+    if per_item:
+        window = Window.partitionBy("warehouse", "item_key").orderBy("dt")
+        found = _series(series, window, rows, factor)
+    else:
+        order = ["dt", "item_key"]
+        window = segment_window(["warehouse"], MONTH, order)
+        haloed = with_halo(with_year_month(series), ["warehouse"], MONTH, order, lookback=rows)
+        found = drop_halo(_series(haloed, window, rows, factor))
+    return found.select(*SERIES_COLUMNS)
+
+
+def _series(df: DataFrame, window: WindowSpec, rows: int, factor: float) -> DataFrame:
     sold, restocked = sold_restocked(step("stock", window))
-    moved = with_halo(series, keys, MONTH, order, lookback=rows).withColumns(
-        {
-            "sold": sold,
-            "restocked": restocked,
-            "price_changed": price_differs("price", F.lag("price").over(window)),
-        }
-    )
-    averaged = moved.withColumn(
-        "trailing_avg", F.avg("sold").over(window.rowsBetween(-(rows - 1), 0))
-    )
     label, emphasis = classify_day("is_spike", "price_changed")
+    recent = F.avg("sold").over(window.rowsBetween(-(rows - 1), 0))
     return (
-        drop_halo(averaged)
+        df.withColumns(
+            {
+                "sold": sold,
+                "restocked": restocked,
+                "price_changed": price_differs("price", F.lag("price").over(window)),
+            }
+        )
+        .withColumn("trailing_avg", recent)
         .withColumn("is_spike", exceeds("sold", "trailing_avg", factor))
         .withColumns({"day_class": label, "emphasis": emphasis})
-        .select(*SERIES_COLUMNS)
     )
 
 
