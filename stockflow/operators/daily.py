@@ -13,6 +13,11 @@ from .tables import conform, require
 _RANK = "_rank"
 
 
+def rank_of(*order: str) -> Column:
+    """Load order as one comparable value."""
+    return (F.struct(*order) if len(order) > 1 else F.col(order[0])).alias(_RANK)
+
+
 def earliest(column: str, rank: str = _RANK) -> Column:
     """First present value of a column by rank; a row without a value has no rank."""
     return F.min_by(column, F.when(F.col(column).isNotNull(), F.col(rank))).alias(column)
@@ -35,7 +40,7 @@ def daily_snapshot(
     total = [_sum_of_stock().alias("stock_sum")] if with_sum else []
     return (
         require(df, DAY_KEYS)
-        .select(*DAY_KEYS, *values, F.struct(*order).alias(_RANK))
+        .select(*DAY_KEYS, *values, rank_of(*order))
         .groupBy(*DAY_KEYS)
         .agg(*[earliest(c) for c in values], *total)
     )
@@ -64,7 +69,7 @@ def daily_rollup(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
     keys = ["dt", "item_code", "warehouse"]
     return (
         require(df, keys)
-        .select(*keys, "stock", "price", F.struct(*order).alias(_RANK))
+        .select(*keys, "stock", "price", rank_of(*order))
         .groupBy(*keys)
         .agg(
             _sum_of_stock().alias("total_sold"),
@@ -86,7 +91,7 @@ def daily_by_day(
             "item_key",
             day("dt").alias("dt"),
             *values,
-            F.struct("dt", *order).alias(_RANK),
+            rank_of("dt", *order),
         )
         .groupBy(*keys)
         .agg(*[earliest(c) for c in values])

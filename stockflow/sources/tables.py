@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,9 @@ from ..operators.tables import conform, nan_as_null, rename
 from ..schema import ENRICHED_DAILY, HEADINGS, MONTHLY_ALIASES, MONTHLY_DEFAULTS
 from ..session import fresh_path
 
+# What Spark raises for a table that is missing or whose files cannot be opened.
+UNREADABLE = (PySparkException, Py4JError)
+
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     reader = spark.read.format(fmt)
@@ -38,7 +42,7 @@ def read_table_or_empty(
     """A table with a fixed schema; empty when it is missing or cannot be opened."""
     try:
         return _cast_to(_read(spark, path, fmt), schema)
-    except PySparkException:
+    except UNREADABLE:
         return spark.createDataFrame([], schema)
 
 
@@ -71,7 +75,7 @@ def read_enriched_daily(spark: SparkSession, path: str) -> DataFrame:
     """The enriched daily table, cleaned; empty when it cannot be opened."""
     try:
         return clean_enriched_daily(_read(spark, path, "parquet"))
-    except PySparkException:
+    except UNREADABLE:
         return spark.createDataFrame([], ENRICHED_DAILY)
 
 
