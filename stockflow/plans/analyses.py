@@ -19,34 +19,46 @@ from ..sources.workbooks import load_snapshots
 
 
 def run_month_analysis(
-    snapshots: DataFrame, order: Sequence[str] = LOAD_ORDER, staged: bool = True, top: int = 1000
+    snapshots: DataFrame,
+    order: Sequence[str] = LOAD_ORDER,
+    staged: bool = True,
+    folder: str | None = None,
+    top: int = 1000,
 ) -> dict[str, DataFrame]:
     """Every table of the month analysis.
 
-    With ``staged``, the daily flows, the monthly fact and the totals are written once to the
-    shared folder, since several tables are read from each. Without it the plan stays lazy from
-    end to end. Snapshots are read twice: for the daily flows and for the identity check.
+    With ``staged``, the net daily flows, the monthly fact and the totals are written once, below
+    ``folder`` or the shared folder, since several tables are read from each. Netting comes before
+    the writing because it shares the placement of the flows. Without staging the plan stays lazy
+    from end to end. Snapshots are read twice: for the daily flows and for the identity check.
     """
-    keep = stage if staged else (lambda df, name: df)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name, folder) if staged else df
+
     cleaned = clean_snapshots(snapshots)
-    flows = keep(with_flows(daily_snapshot(cleaned, order, with_sum=True)), "flows")
-    monthly = keep(monthly_summary(net_of_transfers(flows)), "monthly")
+    daily = daily_snapshot(cleaned, order, with_sum=True)
+    net = keep(net_of_transfers(with_flows(daily)), "net_flows")
+    monthly = keep(monthly_summary(net), "monthly")
     totals = keep(item_totals(monthly), "totals")
     return {
         "monthly": monthly,
-        "transfers": detect_transfers(flows),
+        "transfers": detect_transfers(net),
         "identity_conflicts": identity_conflicts(cleaned),
         "item_totals": totals,
         "top_fast": top_fast(totals, top),
         "top_slow": top_slow(totals, top),
         "top_restocked": top_restocked(totals, top),
-        "daily_rollup": rollup_of(flows),
+        "daily_rollup": rollup_of(net),
     }
 
 
-def run_from_folders(spark: SparkSession, folders: Mapping[str, str]) -> dict[str, DataFrame]:
+def run_from_folders(
+    spark: SparkSession, folders: Mapping[str, str], folder: str | None = None
+) -> dict[str, DataFrame]:
     """The month analysis of workbook folders, one per warehouse, each workbook decoded once."""
-    return run_month_analysis(stage(load_snapshots(spark, folders), "snapshots"))
+    snapshots = stage(load_snapshots(spark, folders), "snapshots", folder)
+    return run_month_analysis(snapshots, folder=folder)
 
 
 def write_month_analysis(tables: Mapping[str, DataFrame], path: str) -> None:

@@ -91,12 +91,16 @@ def load_monthly(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> None:
-    """Write a result, replacing an earlier one."""
-    writer = df.write.mode("overwrite").format(fmt)
+    """Write a result, replacing an earlier one.
+
+    A partitioned table is rebalanced first: one task does not write a file into every folder,
+    and a folder that holds much is still written by several tasks.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    writer = df.write.mode("overwrite").format(fmt).partitionBy(*partition_by)
     if fmt == "csv":
         writer = writer.option("header", True)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
 
@@ -105,12 +109,12 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ("dt", "warehouse
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a result that several others need to the shared folder, and read it back.
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write a result that several others need, below the folder or the shared one, and read it back.
 
     Lost executors then cost the tasks they ran, not the whole lineage.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path = f"{folder.rstrip('/')}/{name}" if folder else fresh_path(spark, name)
+    df.write.mode("overwrite" if folder else "errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
