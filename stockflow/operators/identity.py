@@ -15,22 +15,26 @@ NAME_KEYS = ("warehouse", "item_key")
 def identity_conflicts(df: DataFrame, markers: Iterable[str] = DEFECT_MARKERS) -> DataFrame:
     """Name and code pairs whose normal name goes with more than one normal code.
 
-    The table shrinks to its distinct pairs before anything else. More than one distinct code
-    means that the smallest and the largest differ.
+    The table shrinks to its distinct pairs before anything else. Their row count keeps Spark
+    from aggregating the smallest and largest code straight from the rows, so that both uses of
+    the pairs share one pass and one shuffle. The normal name of a present name is never missing;
+    saying so spares a null test of it on every row. More than one distinct code means that the smallest
+    and the largest differ.
     """
     pairs = (
-        df.select("item_name", "item_code")
-        .distinct()
+        require(df, ["item_name"])
+        .groupBy("item_name", "item_code")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 0)
         .withColumns(
             {
                 "item_code_norm": norm_code("item_code", drop="- "),
-                "item_name_norm": norm_name("item_name", markers),
+                "item_name_norm": F.coalesce(norm_name("item_name", markers), F.lit("")),
             }
         )
     )
     ambiguous = (
-        require(pairs, ["item_name_norm"])
-        .groupBy("item_name_norm")
+        pairs.groupBy("item_name_norm")
         .agg(F.min("item_code_norm").alias("_low"), F.max("item_code_norm").alias("_high"))
         .filter(F.col("_low") != F.col("_high"))
         .select("item_name_norm")
