@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from ..functions.dates import day
 from ..schema import DAY_KEYS, DAILY_DEFAULTS, LOAD_ORDER
 from .tables import conform, require
 
 _RANK = "_rank"
+HASH = "_hash"
 
 
 def rank_of(*order: str) -> Column:
@@ -18,6 +19,15 @@ def rank_of(*order: str) -> Column:
     return (F.struct(*order) if len(order) > 1 else F.col(order[0])).alias(_RANK)
 
 
+def group_hashed(df: DataFrame, keys: Sequence[str]) -> GroupedData:
+    """Group by the keys, led by their hash.
+
+    Aggregates that keep texts sort their rows. Sorting by a number first settles nearly every
+    comparison without touching the texts of the keys.
+    """
+    return df.groupBy(F.xxhash64(*keys).alias(HASH), *keys)
+
+
 def earliest(column: str, rank: str = _RANK) -> Column:
     """First present value of a column by rank; a row without a value has no rank."""
     return F.min_by(column, F.when(F.col(column).isNotNull(), F.col(rank))).alias(column)
@@ -38,11 +48,9 @@ def daily_snapshot(
     """
     values = ["stock", "price", "item_name", "manufacturer"]
     total = [_sum_of_stock().alias("stock_sum")] if with_sum else []
+    rows = require(df, DAY_KEYS).select(*DAY_KEYS, *values, rank_of(*order))
     return (
-        require(df, DAY_KEYS)
-        .select(*DAY_KEYS, *values, rank_of(*order))
-        .groupBy(*DAY_KEYS)
-        .agg(*[earliest(c) for c in values], *total)
+        group_hashed(rows, DAY_KEYS).agg(*[earliest(c) for c in values], *total).drop(HASH)
     )
 
 
@@ -67,14 +75,11 @@ def daily_rollup(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
     if missing:
         raise ValueError(f"daily rollup needs the columns {missing}")
     keys = ["dt", "item_code", "warehouse"]
+    rows = require(df, keys).select(*keys, "stock", "price", rank_of(*order))
     return (
-        require(df, keys)
-        .select(*keys, "stock", "price", rank_of(*order))
-        .groupBy(*keys)
-        .agg(
-            _sum_of_stock().alias("total_sold"),
-            earliest("price").alias("day_open_price"),
-        )
+        group_hashed(rows, keys)
+        .agg(_sum_of_stock().alias("total_sold"), earliest("price").alias("day_open_price"))
+        .drop(HASH)
     )
 
 
@@ -84,15 +89,7 @@ def daily_by_day(
     """One row per warehouse, item key and calendar day: each column's first present value in time."""
     keys = ["warehouse", "item_key", "dt"]
     values = [c for c in DAILY_DEFAULTS if c not in keys] + list(extra)
-    return (
-        require(conform(df, DAILY_DEFAULTS), keys)
-        .select(
-            "warehouse",
-            "item_key",
-            day("dt").alias("dt"),
-            *values,
-            rank_of("dt", *order),
-        )
-        .groupBy(*keys)
-        .agg(*[earliest(c) for c in values])
+    rows = require(conform(df, DAILY_DEFAULTS), keys).select(
+        "warehouse", "item_key", day("dt").alias("dt"), *values, rank_of("dt", *order)
     )
+    return group_hashed(rows, keys).agg(*[earliest(c) for c in values]).drop(HASH)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.dates import month_start
 from ..functions.numbers import price_change, turnover
 from ..schema import ITEM_KEYS, MONTH_KEYS, MONTHLY, TOTALS
-from .daily import earliest, latest
+from .daily import earliest, group_hashed, latest
 from .tables import require
 
 
@@ -44,8 +44,7 @@ def monthly_summary(net: DataFrame) -> DataFrame:
     """
     absolute, percent = price_change("open_price", "close_price")
     return (
-        require(net, [*ITEM_KEYS, "dt"])
-        .groupBy(*MONTH_KEYS)
+        group_hashed(require(net, [*ITEM_KEYS, "dt"]), MONTH_KEYS)
         .agg(
             earliest("item_name", "dt"),
             earliest("manufacturer", "dt"),
