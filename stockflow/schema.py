@@ -67,13 +67,18 @@ HEADINGS = {
     "Артикул": "item_code",
     "Номенклатура": "item_name",
     "Склад": "warehouse",
+    "Количество": "stock",
     "Остаток": "stock",
     "Цена": "price",
     "Производитель": "manufacturer",
     "Год": "year",
     "Месяц": "month",
     "Продано": "sold",
+    "Пополнение": "restocked",
     "Пришло": "restocked",
+    "Склад_откуда": "from_warehouse",
+    "Склад_куда": "to_warehouse",
+    "Кол-во": "qty",
     "Всего_продано": "total_sold",
     "Всего_пополнено": "total_restocked",
     "Дней_продаж": "sale_days",

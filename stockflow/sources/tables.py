@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -19,11 +19,13 @@ from ..session import fresh_path
 UNREADABLE = (PySparkException, Py4JError)
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, fmt: str, aliases: Mapping[str, str] | None = None
+) -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return rename(reader.load(path), HEADINGS)
+    return rename(rename(reader.load(path), aliases or {}), HEADINGS)
 
 
 def _cast_to(df: DataFrame, schema: str) -> DataFrame:
@@ -60,9 +62,9 @@ def read_spikes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def clean_enriched_daily(df: DataFrame) -> DataFrame:
-    """Strip texts, coerce dates and numbers, and mark nothing as anomalous by default."""
+    """Strip codes and names, coerce dates and numbers, and mark nothing as anomalous by default."""
     kinds = dict(df.dtypes)
-    changes = {c: strip_ws(c) for c in ("item_key", "item_code", "item_name") if c in kinds}
+    changes = {c: strip_ws(c) for c in ("item_code", "item_name") if c in kinds}
     if "dt" in kinds:
         changes["dt"] = parse_dt("dt")
     for c in ("stock", "price"):
@@ -81,7 +83,7 @@ def read_enriched_daily(spark: SparkSession, path: str) -> DataFrame:
 
 def load_monthly(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The monthly table with unified headings, its absent measures and a month-start date."""
-    monthly = conform(rename(_read(spark, path, fmt), MONTHLY_ALIASES), MONTHLY_DEFAULTS)
+    monthly = conform(_read(spark, path, fmt, MONTHLY_ALIASES), MONTHLY_DEFAULTS)
     kinds = {"year": "int", "month": "int", **{c: k for c, (k, _) in MONTHLY_DEFAULTS.items()}}
     return monthly.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}).withColumn(
         "month_start", month_start("year", "month")

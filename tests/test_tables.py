@@ -37,7 +37,7 @@ def test_existing_headings_are_understood(spark, months, tmp_path):
     path = str(tmp_path / "monthly")
     theirs = {ours: name for name, ours in HEADINGS.items()}
     loose = months.withColumnsRenamed(theirs).drop("Мин_цена", "Дней_продаж")
-    loose.withColumnRenamed("Всего_продано", "Всего продано").write.parquet(path)
+    loose.withColumnRenamed("Всего_продано", "Продано").write.parquet(path)
     found = st.load_monthly(spark, path)
     assert rows(found, "item_code", "month", "total_sold") == rows(months, "item_code", "month", "total_sold")
     assert {(r.min_price, r.sale_days) for r in found.collect()} == {(None, 0)}
@@ -56,12 +56,12 @@ def test_spikes_come_back_from_csv(spark, months, tmp_path):
 def test_enriched_daily_is_cleaned(spark, tmp_path):
     path = str(tmp_path / "daily")
     spark.createDataFrame(
-        [(" k|n ", "2025-03-02", "1.5", "x"), ("k|n", "bad", "y", "2")],
-        "item_key string, dt string, stock string, price string",
+        [(" n ", "2025-03-02", "1.5", "x"), ("n", "bad", "y", "2")],
+        "item_name string, dt string, stock string, price string",
     ).write.parquet(path)
     found = st.read_enriched_daily(spark, path)
-    assert rows(found, "item_key", "dt", "stock", "price", "is_anomaly") == [
-        ("k|n", None, None, 2, False), ("k|n", day("2025-03-02"), 1.5, None, False),
+    assert rows(found, "item_name", "dt", "stock", "price", "is_anomaly") == [
+        ("n", None, None, 2, False), ("n", day("2025-03-02"), 1.5, None, False),
     ]
 
 
