@@ -29,7 +29,6 @@ HEADLINE = [
     "export_top_fast",
     "export_top_restock",
     "canonical_names",
-    "snapshots_from_grid",
 ]
 WARM_UP_DIR = "/root/testdata/sf0.001"
 

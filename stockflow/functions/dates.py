@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import as_col, strip_ws
 
-_TIME = r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?"
-_DAY_FIRST = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})" + _TIME + "$"
-_DAY_FIRST_SHORT = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2})" + _TIME + "$"
-_YEAR_FIRST = r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})" + _TIME + "$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_WORDED = r"^(\d{1,2}) ([A-Za-z]{3,9}),? (\d{4})$"
+_TIME = r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?$"
+_DAY_MONTH = r"^(\d{1,2})[./-](\d{1,2})[./-]"
+
+# How a date cell may be written, and its readings as ISO text in order of preference.
+_SPELLINGS = [
+    (_DAY_MONTH + r"(\d{4})" + _TIME, ["$3-$2-$1 $4", "$3-$1-$2 $4"]),
+    (r"^(\d{4})[./-](\d{1,2})[./-](\d{1,2})" + _TIME, ["$1-$2-$3 $4"]),
+    (_DAY_MONTH + r"([0-5]\d|6[0-8])" + _TIME, ["20$3-$2-$1 $4", "20$3-$1-$2 $4"]),
+    (_DAY_MONTH + r"(69|[7-9]\d)" + _TIME, ["19$3-$2-$1 $4", "19$3-$1-$2 $4"]),
+    (r"^(\d{4})(\d{2})(\d{2})$", ["$1-$2-$3"]),
+]
+_WORDED = r"^\d{1,2} [A-Za-z]{3,9},? \d{4}$"
 
 
 def parse_dt(column: Column | str, formats: Sequence[str] = ()) -> Column:
@@ -24,49 +30,18 @@ def parse_dt(column: Column | str, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
-def _assemble(text: Column, pattern: str, year: Column, month: int, day: int) -> Column:
-    def part(i: int) -> Column:
-        return F.lpad(F.regexp_extract(text, pattern, i), 2, "0")
-
-    clock = F.regexp_extract(text, pattern, 4)
-    clock = F.when(F.length(clock) == 0, "00:00").otherwise(clock)
-    clock = F.when(F.length(clock) - F.length(F.replace(clock, F.lit(":"), F.lit(""))) == 1,
-                   F.concat(clock, F.lit(":00"))).otherwise(clock)
-    stamp = F.concat(year, F.lit("-"), part(month), F.lit("-"), part(day), F.lit(" "), clock)
-    return stamp.try_cast("timestamp_ntz")
-
-
 def parse_as_of(cell: Column | str) -> Column:
     """Timestamp of a date cell's text, day before month.
 
     ISO text is read as ISO. Where the second number cannot be a month, the first one is.
     """
     text = strip_ws(cell)
-    year = F.regexp_extract(text, _DAY_FIRST, 3)
-    short = F.regexp_extract(text, _DAY_FIRST_SHORT, 3)
-    century = F.concat(F.when(short >= "69", "19").otherwise("20"), short)
-    return (
-        F.when(
-            text.rlike(_DAY_FIRST),
-            F.coalesce(_assemble(text, _DAY_FIRST, year, 2, 1), _assemble(text, _DAY_FIRST, year, 1, 2)),
-        )
-        .when(
-            text.rlike(_YEAR_FIRST),
-            _assemble(text, _YEAR_FIRST, F.regexp_extract(text, _YEAR_FIRST, 1), 2, 3),
-        )
-        .when(
-            text.rlike(_DAY_FIRST_SHORT),
-            F.coalesce(
-                _assemble(text, _DAY_FIRST_SHORT, century, 2, 1),
-                _assemble(text, _DAY_FIRST_SHORT, century, 1, 2),
-            ),
-        )
-        .when(text.rlike(_COMPACT), F.regexp_replace(text, _COMPACT, "$1-$2-$3").try_cast("timestamp_ntz"))
-        .when(
-            text.rlike(_WORDED),
-            parse_dt(F.replace(text, F.lit(","), F.lit("")), ("d MMMM yyyy", "d MMM yyyy")),
-        )
-    )
+    worded = parse_dt(F.replace(text, F.lit(","), F.lit("")), ("d MMMM yyyy", "d MMM yyyy"))
+    parsed = F
+    for pattern, readings in _SPELLINGS:
+        stamps = [F.regexp_replace(text, pattern, r).try_cast("timestamp_ntz") for r in readings]
+        parsed = parsed.when(text.rlike(pattern), F.coalesce(*stamps))
+    return parsed.when(text.rlike(_WORDED), worded)
 
 
 def resolve_as_of(cell: Column | str, file_ts: Column | str) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.dates import as_of_source, resolve_as_of
+from ..functions.dates import as_of_source, parse_as_of, resolve_as_of
 from ..functions.numbers import to_number
 from ..functions.text import strip_ws
 from ..operators.tables import union_all
@@ -198,18 +198,18 @@ def scan_workbooks(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
     return decode_workbooks(files).withColumn("warehouse", F.lit(warehouse))
 
 
-def _with_as_of_cell(grid: DataFrame) -> DataFrame:
-    """The file's date cell on every row.
+def _dated(grid: DataFrame) -> DataFrame:
+    """The grid with the as-of time of each row's file.
 
-    Decoded grids carry it. For others the headers, one short row per file, are joined by file:
-    broadcast while they are small, otherwise split by Spark where a file holds many rows.
+    Decoded grids carry the date cell on every row. For others the headers, one short row per
+    file, are joined by file: broadcast while they are small, otherwise split by Spark where a
+    file holds many rows.
     """
     if "as_of_cell" in grid.columns:
-        return grid
-    headers = grid.filter(F.col("src_row") == DATE_ROW).groupBy("src_file").agg(
-        F.max("a").alias("as_of_cell")
-    )
-    return grid.join(headers, "src_file", "left")
+        return grid.withColumn("dt", resolve_as_of("as_of_cell", "file_ts"))
+    cells = grid.filter(F.col("src_row") == DATE_ROW).groupBy("src_file").agg(F.max("a").alias("_cell"))
+    headers = cells.select("src_file", parse_as_of("_cell").alias("_as_of"))
+    return grid.join(headers, "src_file", "left").withColumn("dt", F.coalesce("_as_of", "file_ts"))
 
 
 def _code_text(cell: Column | str) -> Column:
@@ -230,10 +230,10 @@ def _is_item() -> Column:
 def snapshots_from_grid(grid: DataFrame) -> DataFrame:
     """Snapshot rows of a cell grid: item lines with a code, dated by their file."""
     return (
-        _with_as_of_cell(grid)
+        _dated(grid)
         .filter(_is_item())
         .select(
-            resolve_as_of("as_of_cell", "file_ts").alias("dt"),
+            "dt",
             F.col("b").alias("item_name"),
             _quantity("c").alias("stock"),
             _quantity("d").alias("price"),
