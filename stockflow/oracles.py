@@ -288,14 +288,13 @@ def _export(source: str, measure: str) -> str:
 
 
 _WIDE = [
-    ("item_code", "{}"), ("warehouse", "{}"), ("year", "{}"), ("month", "{}"), ("item_name", "{}"),
-    ("manufacturer", "{}"), ("total_sold", "{}"), ("total_restocked", "{}"), ("last_stock", "{}"),
-    ("min_price", "{}"), ("max_price", "{}"), ("open_price", "{}"), ("sale_days", "{}"),
+    "item_code", "warehouse", "year", "month", "item_name", "manufacturer", "total_sold",
+    "total_restocked", "last_stock", "min_price", "max_price", "open_price", "sale_days",
 ]
 _WIDTHS = " union all ".join(
     f"""select '{c}' as "column", cast(2 + greatest({len(c)},
       max(length(coalesce(cast({c} as varchar), 'nan')))) as integer) as width from monthly"""
-    for c, _ in _WIDE
+    for c in _WIDE
 )
 
 _TABLE_COUNTS = " union all ".join(

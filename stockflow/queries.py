@@ -18,7 +18,6 @@ from .operators import (
     ranking,
     report,
     series,
-    spikes,
     tables,
 )
 from .plans.analyses import run_month_analysis, run_spike_analysis

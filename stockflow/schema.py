@@ -7,11 +7,6 @@ MONTH_KEYS = ["item_code", "warehouse", "year", "month"]
 DAY_KEYS = ["item_code", "warehouse", "dt"]
 LOAD_ORDER = ["src_file", "src_row"]
 
-SNAPSHOT = """
-    dt timestamp_ntz, item_name string, stock double, price double, manufacturer string,
-    item_code string, warehouse string, src_file string, src_row int
-"""
-
 MONTHLY = """
     item_code string, warehouse string, year int, month int, item_name string, manufacturer string,
     total_sold double, total_restocked double, sale_days bigint, avg_price double,
