@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, id_key, known, unused
+from .common import fresh_path, id_key, known, staged, unused
 
 
 class DigestIndex:
@@ -35,9 +35,12 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Index the texts that the index does not hold yet; of equal new texts the largest id stays."""
+        """Index the texts that the index does not hold yet; of equal new texts the largest id stays.
+
+        Groups are written before they meet the index: Spark would else join every copy and group what is left.
+        """
         groups = digests(docs, id_col, text_col).groupBy("digest")
-        groups = groups.agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        groups = staged(groups.agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
         new = groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
         new = new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
         new.select("digest", "keep_id", "group_size").write.insertInto(self.name)

@@ -1,0 +1,273 @@
+"""Operators on single texts against plain, slow versions of what they do."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from conftest import SF_DIR
+from stockflow.llm import bpe, html_extract, labelled_pages, pii_offsets as pii, queries, secret_entropy as sec, token_prefix
+from stockflow.llm.common import table
+
+PATH = public_tokenizers.path(queries.VOCABULARY)
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+ASSIGN = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def checks_out(digits: str) -> bool:
+    doubled = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(digits[::-1])]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def plain_pii(text: str) -> list[tuple[str, int, int]]:
+    found = [("email", *m.span()) for m in re.finditer(EMAIL, text)]
+    found += [("ip", *m.span()) for m in re.finditer(IP, text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for kind, pattern, low, high in (("card", CARD, 14, 19), ("phone", PHONE, 10, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if low <= len(digits) <= high and (kind == "phone" or checks_out(digits)):
+                found.append((kind, *m.span()))
+    return sorted(found, key=lambda s: (s[1], ["email", "ip", "card", "phone"].index(s[0])))
+
+
+def plain_secrets(text: str) -> list[tuple[str, int, int]]:
+    found = [("assign", *m.span()) for m in re.finditer(ASSIGN, text) if len(m.group(2)) >= 8]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(found, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def joined(spans) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def mixed_texts(parts: list[str], n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+
+
+PII_PARTS = [*"a1.@+- ()09é", "@x.com", "192.168", "4111111111111111", "+1 415 555 0123", " at ", " dot ", "[at]", "five ", "​"]
+
+
+def test_plain_identifiers_stay():
+    for text in mixed_texts(PII_PARTS, 5000, 1):
+        base, every = pii.find_pii(text)
+        assert [tuple(s) for s in base] == plain_pii(text)
+        assert set(base) <= set(every)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("write jane.doe [at] example [dot] com now", "email", "jane.doe [at] example [dot] com"),
+        ("joe(at)host.example.org", "email", "joe(at)host.example.org"),
+        ("by name at host dot com", "email", "name at host dot com"),
+        ("john_at_mail_dot_net", "email", "john_at_mail_dot_net"),
+        ("bob＠site．org", "email", "bob＠site．org"),
+        ("jаne@exаmple.com", "email", "jаne@exаmple.com"),
+        ("ja​ne@example.com", "email", "ja​ne@example.com"),
+        ("ip 192[.]168[.]1[.]1 up", "ip", "192[.]168[.]1[.]1"),
+        ("10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
+        ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+        ("call plus one four one five five five five zero one two three ok", "phone",
+         "plus one four one five five five five zero one two three"),
+    ],
+)
+def test_disguised_identifiers_map_back(text, kind, source):
+    base, every = pii.find_pii(text)
+    found = [text[s.start : s.end] for s in every if s not in base and s.kind == kind]
+    assert found == [source]
+
+
+@pytest.mark.parametrize("text", ["", "look at example.com and dot", "one two three", "five or six, at nine", "version 1.2.3"])
+def test_ordinary_text_has_no_identifiers(text):
+    assert pii.find_pii(text) == ([], [])
+
+
+SECRET_PARTS = [*'a1=: "0f', "token", "api_key", "Password", "AKIA", "AKIAABCDEFGHIJ", "0123456789abcdef", "secret='", "K", "ſ"]
+
+
+def test_known_secret_forms_stay():
+    for text in mixed_texts(SECRET_PARTS, 5000, 2):
+        base, every = sec.find_secrets(text)
+        assert [tuple(s) for s in base] == plain_secrets(text)
+        assert set(base) <= set(every)
+
+
+def slow_entropy(text: str) -> float:
+    import math
+
+    return -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
+
+
+@given(st.text("ab01XY", min_size=0, max_size=40), st.integers(4, 12), st.floats(0.5, 2.4))
+@settings(max_examples=300, deadline=None)
+def test_windows_equal_their_entropy(text, window, bits):
+    covered = set()
+    for a in range(len(text) - window + 1):
+        if slow_entropy(text[a : a + window]) >= bits - 1e-9:
+            covered |= set(range(a, a + window))
+    spans = sec.random_parts(text, window, bits)
+    assert {i for a, b in spans for i in range(a, b)} == covered
+
+
+def test_random_strings_are_found_and_harmless_ones_are_not():
+    for text in ("x ghp_16C7e42F292c6912E7710c838347Ae178B4a y", "k wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzKEY1"):
+        assert [s.kind for s in sec.find_secrets(text)[1]] == ["entropy"]
+    for text in ("550e8400-e29b-41d4-a716-446655440000", "a" * 80, "one-long/path/of-words/and_more/words", "1234567890" * 5):
+        assert sec.find_secrets(text) == ([], [])
+
+
+def library_count(text: str) -> int:
+    return len(bpe.load(PATH).library.encode(text, add_special_tokens=False).ids)
+
+
+TOKEN_PARTS = ["'ll", "'l", "'ve", "'", "s", " ", "  ", "\n", "\t", "hello", "Éçñß", "ab", "12", "!", "<|endoftext|>", "<|", "日本",
+               "½²", "\x1c", "\x85", " ", " ", "_", " a", "🙂", "́"]
+
+
+def test_counts_at_every_prefix_are_the_library_s():
+    counter = token_prefix.PrefixCounter(bpe.load(PATH))
+    for text in mixed_texts(TOKEN_PARTS, 150, 3):
+        assert counter.table(text).tolist() == [library_count(text[:k]) for k in range(len(text) + 1)]
+
+
+def test_unicode_is_cut_as_by_the_library():
+    tokens = bpe.load(PATH)
+    for first in range(0, 0x30000, 64):
+        chars = [chr(c) for c in range(first, first + 64) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{c}b1{c} {c}!{c}" for c in chars)
+        assert tokens.encode(text).tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+        assert "".join(tokens.pieces(text)) == text
+
+
+def test_budgets_are_read_off_the_table():
+    counter = token_prefix.PrefixCounter(bpe.load(PATH))
+    text = "The quick brown fox isn't 12 days old.\n\n  It'll jump."
+    counts = counter.table(text)
+    for budget in range(int(counts[-1]) + 2):
+        fits = [k for k in range(len(text) + 1) if library_count(text[:k]) <= budget]
+        assert token_prefix.longest_within(counts, budget) == max(fits)
+
+
+def test_registered_counts_equal_the_library(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF_DIR, "documents").collect()}
+    found = queries.op5_token_counts(spark, SF_DIR).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        n = library_count(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+
+
+@pytest.mark.parametrize(
+    ("query", "plain", "kinds"),
+    [
+        (queries.op4_pii_offsets, plain_pii, ("email", "ip", "card", "phone")),
+        (queries.op8_secret_scan, plain_secrets, ("assign", "access", "hex")),
+    ],
+)
+def test_registered_spans_equal_the_patterns(spark, query, plain, kinds):
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF_DIR, "documents").collect()}
+    found = query(spark, SF_DIR).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in base) for k in kinds]
+        assert {joined([s]) for s in base} <= set(r.spans.split(","))
+
+
+# Web pages.
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return html_extract.train(labelled_pages.labelled_pages())
+
+
+def all_labelings(nodes, weights):
+    """Each labelling's weight, by writing all of them out."""
+    import itertools
+    import math
+
+    for labels in itertools.product((0, 1), repeat=len(nodes)):
+        total = 0.0
+        for i, node in enumerate(nodes):
+            above = nodes[node.parent] if i else None
+            total += labels[i] * sum(weights.get(f, 0.0) for f in html_extract.features(node, above))
+            if i:
+                total += weights.get((html_extract._edge(node), labels[node.parent], labels[i]), 0.0)
+        yield labels, math.exp(total)
+
+
+def test_messages_give_exact_marginals(weights):
+    nodes = html_extract.parse("<body><nav><li><a>x</a></nav><div id=main><p>One two.<p>3</div></body>")
+    small = {k: v / 5 for k, v in weights.items()}
+    chances, pairs = html_extract.marginals(nodes, small)
+    total = sum(w for _, w in all_labelings(nodes, small))
+    for i in range(len(nodes)):
+        share = sum(w for labels, w in all_labelings(nodes, small) if labels[i]) / total
+        assert chances[i] == pytest.approx(share, abs=1e-9)
+    for i in range(1, len(nodes)):
+        both = sum(w for labels, w in all_labelings(nodes, small) if labels[i] and labels[nodes[i].parent]) / total
+        assert pairs[i][3] == pytest.approx(both, abs=1e-9)
+
+
+def test_unseen_labelled_pages_are_read_right(weights):
+    right = wrong = 0
+    for page in labelled_pages.labelled_pages(150, seed=1234):
+        nodes = html_extract.parse(page)
+        chances, _ = html_extract.marginals(nodes, weights)
+        for node, label, chance in zip(nodes, html_extract.labels(nodes), chances, strict=True):
+            if node.tag == "#text":
+                right, wrong = (right + 1, wrong) if (chance >= 0.5) == bool(label) else (right, wrong + 1)
+    assert wrong <= 0.03 * (right + wrong)
+
+
+def article_text(html: str) -> str:
+    """The blocks of the article element, by patterns that hold for the given pages only."""
+    from html import unescape
+
+    inner = re.search(r"<article>(.*?)</article>", html, re.DOTALL)
+    blocks = re.split(r"</?(?:p|h1)>", inner.group(1)) if inner else []
+    texts = [" ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_given_pages_give_their_article(spark):
+    pages = {r.page_id: r for r in table(spark, SF_DIR, "pages").collect()}
+    found = queries.op1_html_extraction(spark, SF_DIR).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        assert r.url == pages[r.page_id].url
+        assert r.text == article_text(pages[r.page_id].html)
+        assert r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("", ""),
+        ("<p", ""),
+        ("<html><body><h1>T &amp; U</h1><p>Some   plain\n page&#33;</p><p>More.</p></body></html>", "T & U\nSome plain page!\nMore."),
+        ("<article><h1>A</h1><p>One <b>two<br>three</p><script>x()</script><!-- c --><p>Four.</article><footer>(c)</footer>",
+         "A\nOne two three\nFour."),
+        ("<article><p>Text of it.</p><section class=comments><p>Nice post!</p></section></article>", "Text of it."),
+        ("<article><table><tr><td>a<td>b</table><ul><li>c<li>d</ul></article>", "a\nb\nc\nd"),
+    ],
+)
+def test_small_pages(weights, html, text):
+    assert html_extract.main_text(html, weights) == text
+
+
+@pytest.mark.parametrize("part", ["<", "<!", "<!--", '<a b="', "&", "<a ", "</", "<script>", "<div>", "<p>", "<li>", "<b>", "<?"])
+def test_hostile_pages_end(weights, part):
+    html_extract.main_text(part * 20_000, weights)
