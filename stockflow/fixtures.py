@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.dates import day
@@ -14,6 +9,10 @@ from .operators.enrich import enrich_daily
 
 ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_tax"]
 
+# Parts that share an item code, and suppliers that share a site besides the three main warehouses.
+PARTS_PER_ITEM = 20
+SUPPLIERS_PER_SITE = 50
+
 # Orders per workbook of a warehouse and day, which keeps a workbook below a sheet's row limit.
 ORDERS_PER_BOOK = 100_000
 
@@ -23,18 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock snapshots: order lines as shelf records of their part."""
+    """Stock snapshots: order lines as shelf records of their group of parts, at their supplier's warehouse.
+
+    Groups and warehouses grow with the parts and suppliers. Parts of one name are in several groups, and a
+    tenth of the groups never sells.
+    """
+    group = F.floor(F.col("l_partkey") / PARTS_PER_ITEM).cast("bigint")
+    supplier = F.col("l_suppkey") % 5
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+    number, taxed = F.col("l_linenumber"), F.col("l_tax") == 0.08
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_shipdate").cast("timestamp_ntz").alias("dt"),
-        F.concat(F.lit("it-"), F.lpad((F.col("l_partkey") % 50).cast("string"), 3, "0")).alias("item_code"),
-        F.when(flag == "A", "WH-A").when(flag == "N", "WH-N").otherwise("WH-R").alias("warehouse"),
-        F.when(F.col("l_quantity") != 50, F.col("l_quantity") - 1).alias("stock"),
-        F.when(
-            ~((F.col("l_tax") == 0.08) & (number == 1)), F.round(100 * (1 - F.col("l_discount")), 2)
-        ).alias("price"),
+        F.concat(F.lit("it-"), F.lpad(group.cast("string"), 6, "0")).alias("item_code"),
+        F.when(supplier == 0, "WH-A")
+        .when(supplier == 1, "WH-N")
+        .when(supplier == 2, "WH-R")
+        .otherwise(F.concat(F.lit("WH-"), F.floor(F.col("l_suppkey") / SUPPLIERS_PER_SITE).cast("string")))
+        .alias("warehouse"),
+        F.when(group % 10 == 9, F.lit(5.0))
+        .when(F.col("l_quantity") != 50, F.col("l_quantity") - 1)
+        .alias("stock"),
+        F.when(taxed & (number == 2), F.lit(0.0))
+        .when(~(taxed & (number == 1)), F.round(100 * (1 - F.col("l_discount")), 2))
+        .alias("price"),
         F.when(number == 7, F.concat(F.lit("  "), F.upper("p_name"), F.lit(" дефект")))
         .otherwise(F.col("p_name"))
         .alias("item_name"),
@@ -87,75 +98,6 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("dt")
 
 
-# The parts of a minimal workbook.
-_CONTENT_TYPES = (
-    '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-    '<Default Extension="xml" ContentType="application/xml"/></Types>'
-)
-_WORKBOOK = (
-    '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
-    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
-    '<sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>'
-)
-_RELATIONS = (
-    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-    '<Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>'
-)
-_SHEET = (
-    '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-    "<sheetData>{}</sheetData></worksheet>"
-)
-
-
-def _cell(letter: str, row: int, value: str | None) -> str:
-    if value is None:
-        return ""
-    if letter in "cd":
-        return f'<c r="{letter.upper()}{row}"><v>{value}</v></c>'
-    text = f'<is><t xml:space="preserve">{escape(value)}</t></is>'
-    return f'<c r="{letter.upper()}{row}" t="inlineStr">{text}</c>'
-
-
-def encode_workbook(rows: list[dict]) -> bytes:
-    """Workbook bytes of one file's grid rows."""
-    lines = []
-    for row in sorted(rows, key=lambda r: r["src_row"]):
-        cells = "".join(_cell(c, row["src_row"], row[c]) for c in "abcdef")
-        lines.append(f'<row r="{row["src_row"]}">{cells}</row>')
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", _CONTENT_TYPES)
-        book.writestr("xl/workbook.xml", _WORKBOOK)
-        book.writestr("xl/_rels/workbook.xml.rels", _RELATIONS)
-        book.writestr("xl/worksheets/sheet1.xml", _SHEET.format("".join(lines)))
-    return out.getvalue()
-
-
-def _encode_group(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    return pa.table(
-        {
-            "path": pa.array([rows[0]["src_file"]]),
-            "modificationTime": pa.array([rows[0]["file_ts"]], pa.timestamp("us")),
-            "content": pa.array([encode_workbook(rows)], pa.binary()),
-        }
-    )
-
-
-def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid as files, shaped as the ``binaryFile`` source gives them.
-
-    The number of partitions is explicit because a few bytes here are a lot of work.
-    """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        grid(spark, sf_dir)
-        .repartition(partitions, "src_file")
-        .groupBy("src_file")
-        .applyInArrow(_encode_group, "path string, modificationTime timestamp_ntz, content binary")
-    )
-
-
 def dated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their time and value as text in several spellings, some of them unreadable."""
     kind, ts, value = F.col("event_type"), F.col("ts"), F.col("value")
@@ -164,6 +106,9 @@ def dated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "error", "n/a")
         .when(kind == "click", F.date_format("ts", "dd.MM.yyyy"))
         .when(kind == "view", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .when(F.col("event_id") % 4 == 0, F.date_format("ts", "MMMM d, yyyy"))
+        .when(F.col("event_id") % 4 == 1, F.date_format("ts", "d MMMM yyyy HH:mm"))
+        .when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm"))
         .alias("date_text"),
         F.when(kind == "error", F.col("props"))

@@ -19,7 +19,12 @@ _SPELLINGS = [
     (_DAY_MONTH + r"(69|[7-9]\d)" + _TIME, ["19$3-$2-$1 $4", "19$3-$1-$2 $4"]),
     (r"^(\d{4})(\d{2})(\d{2})$", ["$1-$2-$3"]),
 ]
-_WORDED = r"^\d{1,2} [A-Za-z]{3,9},? \d{4}$"
+# Month names, before or after the day, with or without a time.
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
+_DAY_FIRST = r"^\d{1,2} [A-Za-z]{3,9} \d{4}" + _CLOCK
+_MONTH_FIRST = r"^[A-Za-z]{3,9} \d{1,2} \d{4}" + _CLOCK
+_CLOCKS = ("", " H:mm", " H:mm:ss")
+_ZULU = r"^(\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)Z$"
 
 
 def parse_dt(column: Column | str, formats: Sequence[str] = ()) -> Column:
@@ -35,13 +40,16 @@ def parse_as_of(cell: Column | str) -> Column:
 
     ISO text is read as ISO. Where the second number cannot be a month, the first one is.
     """
-    text = strip_ws(cell)
-    worded = parse_dt(F.replace(text, F.lit(","), F.lit("")), ("d MMMM yyyy", "d MMM yyyy"))
+    text = F.regexp_replace(strip_ws(cell), _ZULU, "$1")
+    words = F.regexp_replace(F.replace(text, F.lit(","), F.lit(" ")), " +", " ")
     parsed = F
     for pattern, readings in _SPELLINGS:
         stamps = [F.regexp_replace(text, pattern, r).try_cast("timestamp_ntz") for r in readings]
         parsed = parsed.when(text.rlike(pattern), F.coalesce(*stamps))
-    return parsed.when(text.rlike(_WORDED), worded)
+    for pattern, dates in ((_DAY_FIRST, ("d MMMM yyyy", "d MMM yyyy")), (_MONTH_FIRST, ("MMMM d yyyy", "MMM d yyyy"))):
+        formats = [f"{date}{clock}" for date in dates for clock in _CLOCKS]
+        parsed = parsed.when(words.rlike(pattern), parse_dt(words, formats))
+    return parsed
 
 
 def resolve_as_of(cell: Column | str, file_ts: Column | str) -> Column:

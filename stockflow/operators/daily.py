@@ -86,10 +86,14 @@ def daily_rollup(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame:
 def daily_by_day(
     df: DataFrame, order: Sequence[str] = LOAD_ORDER, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per warehouse, item key and calendar day: each column's first present value in time."""
+    """One row per warehouse, item key and calendar day: each column's first present value in time.
+
+    ``n_rows`` is the number of snapshot rows of the day.
+    """
     keys = ["warehouse", "item_key", "dt"]
     values = [c for c in DAILY_DEFAULTS if c not in keys] + list(extra)
     rows = require(conform(df, DAILY_DEFAULTS), keys).select(
         "warehouse", "item_key", day("dt").alias("dt"), *values, rank_of("dt", *order)
     )
-    return group_hashed(rows, keys).agg(*[earliest(c) for c in values]).drop(HASH)
+    count = F.count(F.lit(1)).alias("n_rows")
+    return group_hashed(rows, keys).agg(*[earliest(c) for c in values], count).drop(HASH)

@@ -17,7 +17,7 @@ from .tables import conform
 SERIES_KEYS = ["warehouse", "item_key"]
 ENRICHED = [
     "warehouse", "item_key", "dt", "stock", "price", "item_name", "canonical_name",
-    "name_variants", "sold", "restocked", "price_changed", "is_anomaly",
+    "sold", "restocked", "price_changed", "is_anomaly",
 ]
 
 
@@ -55,12 +55,13 @@ def daily_metrics(df: DataFrame, order: Sequence[str] = LOAD_ORDER) -> DataFrame
 def enrich_daily(
     df: DataFrame, order: Sequence[str] = LOAD_ORDER, key: Sequence[str] = NAME_KEYS
 ) -> DataFrame:
-    """Daily metrics with canonical names and name variants.
+    """Daily metrics with canonical names.
 
-    Names join the daily rows, of which there are far fewer than snapshot rows.
+    A daily row has one name, since the item key holds it, and knows how many snapshot rows it stands
+    for; names are counted and joined on these rows, and snapshots read once.
     """
     keyed = with_item_key(df)
     daily = daily_by_day(keyed, order, extra=[c for c in key if c not in SERIES_KEYS])
-    names = name_table(keyed, key)
-    named = daily.drop("canonical_name", "name_variants").join(names, list(key), "left")
+    names = name_table(daily, key, rows="n_rows")
+    named = daily.drop("canonical_name").join(names, list(key), "left")
     return _metrics(named).select(*ENRICHED)

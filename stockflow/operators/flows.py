@@ -10,6 +10,8 @@ from ..schema import ITEM_KEYS
 from .halo import drop_halo, segment_window, step, with_halo
 
 MONTH = ["year", "month"]
+#: Whether a moving row has a partner of the opposite sign, that is, takes part in a transfer.
+MARK = "is_transfer"
 
 
 def with_flows(daily: DataFrame) -> DataFrame:
@@ -41,40 +43,46 @@ def outflows(flows: DataFrame) -> DataFrame:
     )
 
 
-def detect_transfers(flows: DataFrame) -> DataFrame:
+def marked_transfers(flows: DataFrame) -> DataFrame:
+    """Flows with a mark on the rows of transfers.
+
+    A group holds one row per warehouse. Rows without movement need no partner, so they are
+    spread by warehouse and form no large group.
+    """
+    diff = F.col("stock_diff")
+    group = Window.partitionBy(
+        "item_code", *MONTH, "dt", F.abs(diff), F.when(diff == 0, F.col("warehouse"))
+    )
+    both = F.max(diff > 0).over(group) & F.max(diff < 0).over(group)
+    return flows.withColumn(MARK, F.coalesce(both, F.lit(False)))
+
+
+def transfers_of(marked: DataFrame) -> DataFrame:
     """Arrivals and departures of the same item, time and quantity in different warehouses.
 
-    Many to many: every matching pair is a transfer.
+    Only marked rows are joined. Many to many: every matching pair is a transfer.
     """
+    moved = marked.filter(MARK)
     return (
-        inflows(flows)
-        .join(outflows(flows), ["dt", "item_code", "qty"], "inner")
+        inflows(moved)
+        .join(outflows(moved), ["dt", "item_code", "qty"], "inner")
         .filter(F.col("from_warehouse") != F.col("to_warehouse"))
         .select("dt", "item_code", "from_warehouse", "to_warehouse", "qty")
     )
 
 
+def detect_transfers(flows: DataFrame) -> DataFrame:
+    """The transfers among flows that are not marked yet."""
+    return transfers_of(marked_transfers(flows))
+
+
 def net_of_transfers(flows: DataFrame) -> DataFrame:
     """Flows in which both sides of every transfer count as neither sold nor restocked.
 
-    A group holds one row per warehouse. Rows without movement need no partner, so they are
-    spread by warehouse and form no large group.
+    Flows without a mark are marked first.
     """
-    diff = F.col("stock_diff")
-    group = Window.partitionBy(
-        "item_code", *MONTH, "dt", F.abs(diff), F.when(diff == 0, F.col("warehouse"))
-    )
-    moved = flows.withColumns(
-        {
-            "_arrived": F.max(diff > 0).over(group),
-            "_departed": F.max(diff < 0).over(group),
-        }
-    )
-    both = F.col("_arrived") & F.col("_departed")
+    marked = flows if MARK in flows.columns else marked_transfers(flows)
     zero = F.lit(0.0)
-    return moved.withColumns(
-        {
-            "sold": F.when(both, zero).otherwise(F.col("sold")),
-            "restocked": F.when(both, zero).otherwise(F.col("restocked")),
-        }
-    ).drop("_arrived", "_departed")
+    return marked.withColumns(
+        {c: F.when(F.col(MARK), zero).otherwise(F.col(c)) for c in ("sold", "restocked")}
+    ).drop(MARK)

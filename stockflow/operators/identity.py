@@ -44,26 +44,33 @@ def identity_conflicts(df: DataFrame, markers: Iterable[str] = DEFECT_MARKERS) -
     )
 
 
-def name_table(df: DataFrame, key: Sequence[str] = NAME_KEYS) -> DataFrame:
-    """Most frequent name per key, ties to the smallest, and all its names in order.
+def name_table(df: DataFrame, key: Sequence[str] = NAME_KEYS, rows: str | None = None) -> DataFrame:
+    """Most frequent name per key, ties to the smallest.
 
-    Rows are counted per name first, so a key contributes its distinct names, not its rows.
+    Rows are counted per name first, so a key contributes its distinct names, not its rows. ``rows``
+    is a column that says how many rows each row stands for.
     """
-    counts = require(df, key).groupBy(*key, "item_name").agg(F.count(F.lit(1)).alias("_n"))
+    many = F.sum(rows) if rows else F.count(F.lit(1))
+    counts = require(df, key).groupBy(*key, "item_name").agg(many.alias("_n"))
     rank = F.when(F.col("item_name").isNotNull(), F.struct(-F.col("_n"), F.col("item_name")))
     return counts.groupBy(*key).agg(
-        F.coalesce(F.min_by("item_name", rank), F.lit("")).alias("canonical_name"),
-        F.array_join(F.array_sort(F.collect_set("item_name")), ", ").alias("name_variants"),
+        F.coalesce(F.min_by("item_name", rank), F.lit("")).alias("canonical_name")
     )
 
 
 def canonical_names(df: DataFrame, key: Sequence[str] = NAME_KEYS) -> DataFrame:
-    """Add the canonical name, the name variants and whether the row's name differs."""
+    """Add the canonical name and whether the row's name differs."""
     return df.join(name_table(df, key), list(key), "left").withColumn(
         "name_changed", name_changed("item_name", "canonical_name")
     )
 
 
 def name_variants(df: DataFrame, key: Sequence[str] = NAME_KEYS) -> DataFrame:
-    """Name variants per key."""
-    return name_table(df, key).select(*key, "name_variants")
+    """The names of each key, a row for each."""
+    return require(df, [*key, "item_name"]).select(*key, "item_name").distinct()
+
+
+def variants_text(names: DataFrame, key: Sequence[str] = NAME_KEYS) -> DataFrame:
+    """The names of each key as one text, for a report over chosen keys: it grows with a key's names."""
+    joined = F.array_join(F.array_sort(F.collect_set("item_name")), ", ")
+    return names.groupBy(*key).agg(joined.alias("name_variants"))

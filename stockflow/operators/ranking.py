@@ -17,6 +17,11 @@ PRICE_COLUMNS = ["avg_price", "min_price", "max_price"]
 EXPORT_NAMES = {"sale_days": "times_sold", "in_stock_days": "times_in_stock"}
 
 
+def _chosen(df: DataFrame, warehouses: Iterable[str] | None, every: bool) -> DataFrame:
+    """Rows of the chosen warehouses, or of ``every`` one; without a choice there are none."""
+    return df if every else in_warehouses(df, warehouses, empty="none")
+
+
 def _top(df: DataFrame, measure: str, keys: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(measure), *keys).limit(n)
 
@@ -57,16 +62,20 @@ def rank_base(df: DataFrame, measure: str) -> DataFrame:
     )
 
 
-def rank_fast(df: DataFrame, warehouses: Iterable[str] | None, n: int = 100) -> DataFrame:
+def rank_fast(
+    df: DataFrame, warehouses: Iterable[str] | None = None, n: int = 100, every: bool = False
+) -> DataFrame:
     """Best sellers over all chosen warehouses together."""
     base = rank_base(rank_input(df, "total_sold"), "total_sold")
-    return _top(in_warehouses(base, warehouses, empty="none"), "total_sold", RANK_KEYS, n)
+    return _top(_chosen(base, warehouses, every), "total_sold", RANK_KEYS, n)
 
 
-def rank_restock(df: DataFrame, warehouses: Iterable[str] | None, n: int = 100) -> DataFrame:
+def rank_restock(
+    df: DataFrame, warehouses: Iterable[str] | None = None, n: int = 100, every: bool = False
+) -> DataFrame:
     """Most restocked items over all chosen warehouses together."""
     base = rank_base(rank_input(df, "total_restocked", "total_sold"), "total_restocked")
-    return _top(in_warehouses(base, warehouses, empty="none"), "total_restocked", RANK_KEYS, n)
+    return _top(_chosen(base, warehouses, every), "total_restocked", RANK_KEYS, n)
 
 
 def top_sellers(daily: DataFrame, warehouses: Iterable[str] | None = None, n: int = 100) -> DataFrame:
@@ -94,8 +103,10 @@ def turnover_by_avg_stock(df: DataFrame) -> DataFrame:
     return df.withColumn("turnover", round_to(ratio(F.col("total_sold"), F.col("avg_stock")), 2))
 
 
-def _export(df: DataFrame, measure: str, warehouses: Iterable[str] | None, n: int) -> DataFrame:
-    chosen = _top(in_warehouses(df, warehouses, empty="none"), measure, ITEM_KEYS, n)
+def _export(
+    df: DataFrame, measure: str, warehouses: Iterable[str] | None, n: int, every: bool
+) -> DataFrame:
+    chosen = _top(_chosen(df, warehouses, every), measure, ITEM_KEYS, n)
     rounded = round_prices(chosen)
     if {"open_price", "close_price"} <= set(df.columns):
         rounded = rounded.withColumn(
@@ -104,14 +115,18 @@ def _export(df: DataFrame, measure: str, warehouses: Iterable[str] | None, n: in
     return rename(turnover_by_avg_stock(rounded), EXPORT_NAMES)
 
 
-def export_top_fast(df: DataFrame, warehouses: Iterable[str] | None, n: int = 100) -> DataFrame:
+def export_top_fast(
+    df: DataFrame, warehouses: Iterable[str] | None = None, n: int = 100, every: bool = False
+) -> DataFrame:
     """Best sellers with rounded prices and the price change as a fraction."""
-    return _export(rank_input(df, "total_sold"), "total_sold", warehouses, n)
+    return _export(rank_input(df, "total_sold"), "total_sold", warehouses, n, every)
 
 
-def export_top_restock(df: DataFrame, warehouses: Iterable[str] | None, n: int = 100) -> DataFrame:
+def export_top_restock(
+    df: DataFrame, warehouses: Iterable[str] | None = None, n: int = 100, every: bool = False
+) -> DataFrame:
     """Most restocked items with rounded prices and the price change as a fraction."""
-    return _export(rank_input(df, "total_restocked", "total_sold"), "total_restocked", warehouses, n)
+    return _export(rank_input(df, "total_restocked", "total_sold"), "total_restocked", warehouses, n, every)
 
 
 def tail_by_date(

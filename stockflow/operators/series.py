@@ -6,10 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from ..functions.dates import with_year_month
+from ..functions.dates import day
 from ..functions.numbers import classify_day, exceeds, price_differs, sold_restocked
 from .filters import in_warehouses, options, select_items, without_anomalies
-from .flows import MONTH
 from .halo import drop_halo, segment_window, step, with_halo
 from .ranking import tail_by_date
 from .tables import require
@@ -56,10 +55,12 @@ def item_series(
     """Stock, movements, spikes and price changes of a selection, recomputed after filtering.
 
     One series per warehouse, in which several items of one name follow each other by date
-    and key; such a series has no bound and is windowed by month with a halo. With ``per_item``
-    each item has its own series of at most one row per calendar day; use it for whole tables,
-    together with ``require_any=False``.
+    and key; such a series has no bound and is windowed by day with a halo, so a group holds one
+    warehouse's items of one day. It needs a selection: a whole table is many items, and asks for
+    ``per_item``, where each item has its own series of at most one row per calendar day.
     """
+    if not (per_item or item or name):
+        require_any = True
     chosen = _chosen(in_warehouses(without_anomalies(daily), warehouses), item, name, require_any)
     columns = ["dt", "warehouse", "item_key", "canonical_name", "stock", "price"]
     series = require(chosen, ["warehouse", "dt"]).select(*columns)
@@ -68,8 +69,8 @@ def item_series(
         found = _series(series, window, rows, factor)
     else:
         order = ["dt", "item_key"]
-        window = segment_window(["warehouse"], MONTH, order)
-        haloed = with_halo(with_year_month(series), ["warehouse"], MONTH, order, lookback=rows)
+        window = segment_window(["warehouse"], ["_day"], order)
+        haloed = with_halo(series.withColumn("_day", day("dt")), ["warehouse"], ["_day"], order, lookback=rows)
         found = drop_halo(_series(haloed, window, rows, factor))
     return found.select(*SERIES_COLUMNS)
 
@@ -108,10 +109,10 @@ def spike_series(
     warehouse: str | None = None,
     item: str | None = None,
     name: str | None = None,
-    n: int | None = 200,
+    n: int | None = None,
     only_spikes: bool = False,
 ) -> DataFrame:
-    """The latest months of a selection in long form, one row per measure."""
+    """The months of a selection in long form, one row per measure; with ``n`` only the latest months."""
     chosen = select_items(spikes, warehouse, item, name)
     if only_spikes:
         chosen = chosen.filter("is_spike")

@@ -26,10 +26,13 @@ def _rint(expression: str, places: int) -> str:
 PARTS = {
     "snap": """
         select l_shipdate as dt,
-          'it-' || lpad(cast(l_partkey % 50 as varchar), 3, '0') as item_code,
-          case l_returnflag when 'A' then 'WH-A' when 'N' then 'WH-N' else 'WH-R' end as warehouse,
-          case when l_quantity = 50 then null else l_quantity - 1 end as stock,
-          case when l_tax = 0.08 and l_linenumber = 1 then null
+          'it-' || lpad(cast(l_partkey // 20 as varchar), 6, '0') as item_code,
+          case l_suppkey % 5 when 0 then 'WH-A' when 1 then 'WH-N' when 2 then 'WH-R'
+               else 'WH-' || cast(l_suppkey // 50 as varchar) end as warehouse,
+          case when (l_partkey // 20) % 10 = 9 then 5.0
+               when l_quantity = 50 then null else l_quantity - 1 end as stock,
+          case when l_tax = 0.08 and l_linenumber = 2 then 0.0
+               when l_tax = 0.08 and l_linenumber = 1 then null
                else round(100 * (1 - l_discount), 2) end as price,
           case when l_linenumber = 7 then '  ' || upper(p_name) || ' дефект' else p_name end as item_name,
           p_brand as manufacturer,
@@ -83,13 +86,13 @@ PARTS = {
           total_sold / case when sale_days = 0 then 1 else sale_days end as turnover,
           min_price, max_price, open_price, close_price,
           coalesce(close_price - open_price, 0.0) as price_change_abs,
-          coalesce((close_price / open_price - 1) * 100, 0.0) as price_change_pct
+          case when open_price = 0 and close_price > 0 then 'inf'::double
+            when open_price = 0 then 0.0 else coalesce((close_price / open_price - 1) * 100, 0.0) end as price_change_pct
         from month_sums s join open_close p
           on s.item_code = p.item_code and s.warehouse = p.warehouse
           and s.year = p.year and s.month = p.month""",
-    "still_months": "select * from monthly where total_sold = 0",
     "totals": "{totals_of:monthly}",
-    "still_totals": "{totals_of:still_months}",
+    "sold_totals": "select * from totals where total_sold > 0",
     "fast": """
         select * from totals where total_sold > 0
         order by turnover desc nulls last, item_code, warehouse limit 1000""",
@@ -101,24 +104,23 @@ PARTS = {
             avg(total_sold) over (partition by item_code, warehouse order by year, month
               rows between 3 preceding and 1 preceding) as trailing_avg
           from monthly)""",
-    "latest": """
-        select * from spikes order by month_start desc, item_code desc, warehouse desc limit 200""",
+    "slow": """
+        select * from totals where total_sold = 0 order by in_stock_days desc, item_code, warehouse limit 1000""",
     "keyed": "select *, coalesce(item_code, 'nan') || '|' || coalesce(item_name, 'nan') as item_key from snap",
     "name_counts": "select warehouse, item_code, item_name, count(*) as n from snap group by all",
     "names": """
         select warehouse, item_code,
           coalesce(first(item_name order by n desc, item_name) filter (where item_name is not null), '')
-            as canonical_name,
-          coalesce(string_agg(distinct item_name, ', ' order by item_name), '') as name_variants
+            as canonical_name
         from name_counts group by warehouse, item_code""",
     "canonical": """
-        select s.*, canonical_name, name_variants,
+        select s.*, canonical_name,
           coalesce(s.item_name <> canonical_name, true) as name_changed
         from snap s join names n on s.warehouse = n.warehouse and s.item_code = n.item_code""",
     "by_day": f"""
         select warehouse, item_key, date_trunc('day', dt) as dt, {_first('stock', 'dt, ' + ORDER)},
           {_first('price', 'dt, ' + ORDER)}, {_first('item_name', 'dt, ' + ORDER)},
-          {_first('item_code', 'dt, ' + ORDER)}
+          {_first('item_code', 'dt, ' + ORDER)}, cast(count(*) as bigint) as n_rows
         from keyed group by warehouse, item_key, date_trunc('day', keyed.dt)""",
     "day_moves": """
         select *, coalesce(stock - lag(stock) over w, 0.0) as diff,
@@ -130,8 +132,7 @@ PARTS = {
         from day_moves""",
     "enriched": """
         select warehouse, item_key, dt, stock, price, item_name,
-          coalesce(item_name, '') as canonical_name, coalesce(item_name, '') as name_variants,
-          sold, restocked, price_changed, is_anomaly
+          coalesce(item_name, '') as canonical_name, sold, restocked, price_changed, is_anomaly
         from metrics""",
     "sellers": """
         select item_key as item_code, canonical_name as item_name, warehouse, sum(sold) as sold
@@ -145,7 +146,10 @@ PARTS = {
     "dated_text": """
         select event_id,
           case event_type when 'error' then 'n/a' when 'click' then strftime(ts, '%d.%m.%Y')
-            when 'view' then strftime(ts, '%Y-%m-%d %H:%M:%S') else strftime(ts, '%d/%m/%Y %H:%M')
+            when 'view' then strftime(ts, '%Y-%m-%d %H:%M:%S')
+            else case event_id % 4 when 0 then strftime(ts, '%B %-d, %Y')
+              when 1 then strftime(ts, '%-d %B %Y %H:%M') when 2 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+              else strftime(ts, '%d/%m/%Y %H:%M') end
             end as date_text,
           case event_type when 'error' then props when 'click' then ' ' || cast(value as varchar) || chr(9)
             when 'view' then replace(cast(value as varchar), '.', ',') else cast(value as varchar)
@@ -168,7 +172,10 @@ PARTS = {
           coalesce(stock, 0.0) as stock, coalesce(price, 0.0) as price, manufacturer, item_code,
           warehouse, src_file, src_row
         from book_lines""",
-    "exports": "select * from fast where warehouse in ('WH-A', 'WH-N', 'WH-R')",
+    "exports": """
+        select * from sold_totals where item_name is not null
+        order by total_sold desc, item_code, warehouse limit 1000""",
+    "widened": "select *, total_sold * 1000000 + 0.5 as large, max_price / 100000 as small from monthly",
     "rollup": f"""
         select dt, item_code, warehouse, coalesce(sum(stock), 0.0) as total_sold,
           first(price order by {ORDER}) filter (where price is not null) as day_open_price
@@ -252,6 +259,8 @@ TOTAL_COLUMNS = (
     "round(avg_price, 6) as avg_price, min_price, max_price, open_price, close_price, "
     "in_stock_days, turnover"
 )
+CLEAN_CODE = "upper(replace(item_code, '-', ''))"
+CLEAN_TOTALS = TOTAL_COLUMNS.replace("item_code,", f"{CLEAN_CODE} as item_code,", 1)
 FRACTION = (
     "case when open_price = 0 and close_price > 0 then 'inf'::double "
     "when open_price = 0 and close_price < 0 then '-inf'::double "
@@ -269,31 +278,33 @@ NUMBER = (
 )
 AS_OF = (
     "coalesce(try_strptime(date_text, '%d.%m.%Y'), try_strptime(date_text, '%d/%m/%Y %H:%M'), "
-    "try_strptime(date_text, '%Y-%m-%d %H:%M:%S'))"
+    "try_strptime(date_text, '%Y-%m-%d %H:%M:%S'), try_strptime(date_text, '%B %d, %Y'), "
+    "try_strptime(date_text, '%d %B %Y %H:%M'), "
+    "try_strptime(replace(replace(date_text, 'T', ' '), 'Z', ''), '%Y-%m-%d %H:%M:%S'))"
 )
 
 
 def _rank(source: str, measure: str) -> str:
     return f"""
         select warehouse, item_name, item_code, sum({measure}) as {measure} from {source}
-        where warehouse in ('WH-A', 'WH-N') and item_name is not null group by all
+        where item_name is not null group by all
         order by {measure} desc, warehouse, item_name, item_code limit 100"""
 
 
 def _export(source: str, measure: str) -> str:
     return f"""
         select {EXPORT} from (
-          select * from {source} where warehouse in ('WH-A', 'WH-N') and item_name is not null
+          select * from {source} where item_name is not null
           order by {measure} desc, item_code, warehouse limit 100)"""
 
 
 _WIDE = [
     "item_code", "warehouse", "year", "month", "item_name", "manufacturer", "total_sold",
-    "total_restocked", "last_stock", "min_price", "max_price", "open_price", "sale_days",
+    "total_restocked", "last_stock", "min_price", "max_price", "open_price", "sale_days", "large", "small",
 ]
 _WIDTHS = " union all ".join(
     f"""select '{c}' as "column", cast(2 + greatest({len(c)},
-      max(length(coalesce(cast({c} as varchar), 'nan')))) as integer) as width from monthly"""
+      max(length(coalesce(cast({c} as varchar), 'nan')))) as integer) as width from widened"""
     for c in _WIDE
 )
 
@@ -305,7 +316,7 @@ _TABLE_COUNTS = " union all ".join(
         "identity_conflicts": "conflicts",
         "item_totals": "totals",
         "top_fast": "fast",
-        "top_slow": "(select * from totals where total_sold = 0 limit 1000)",
+        "top_slow": "slow",
         "top_restocked": "restocked_top",
         "daily_rollup": "rollup",
     }.items()
@@ -353,10 +364,16 @@ _QUERIES = {
     "spike_turnover": f"select {MONTH}, total_sold, total_sold / 10 as turnover from monthly",
     "price_change": f"""
         select {MONTH}, open_price, close_price, coalesce(close_price - open_price, 0.0) as price_change_abs,
-          coalesce((close_price / open_price - 1) * 100, 0.0) as price_change_pct from open_close""",
+          case when open_price = 0 and close_price > 0 then 'inf'::double when open_price = 0 then 0.0
+            else coalesce((close_price / open_price - 1) * 100, 0.0) end as price_change_pct from open_close""",
     "price_change_fraction": f"""
         select {MONTH}, open_price, close_price, {FRACTION} as price_change_frac from open_close""",
-    "least_days": f"select {MONTH}, least(in_stock_days, distinct_days) as in_stock_days from monthly",
+    "least_days": f"""
+        select {MONTH}, in_stock, days, least(in_stock, days) as in_stock_days from (
+          select item_code, warehouse, cast(year(dt) as integer) as year, cast(month(dt) as integer) as month,
+            cast(count(*) filter (where stock > 0) as bigint) as in_stock,
+            cast(count(distinct dt) as bigint) as days
+          from snap group by all)""",
     "classify_day": """
         select warehouse, item_key, dt, is_spike, price_changed, day_class, emphasis from item_days""",
     "item_key": f"select {LINE}, item_key from keyed",
@@ -369,7 +386,8 @@ _QUERIES = {
           format('{{:,.2f}} ₽', close_price) as close_price,
           format('{{:,.0f}}', total_restocked) as total_restocked,
           format('{{:,.0f}}', turnover) as turnover,
-          format('{{:,.2f}}%', price_change_frac * 100) as price_change_frac
+          case when isinf(price_change_frac) then 'Infinity%'
+            else format('{{:.2f}}%', price_change_frac * 100) end as price_change_frac
         from (select {EXPORT} from exports)""",
     "require_keys": f"select {LINE}, stock, price from snap where stock is not null and price is not null",
     "inflows": """
@@ -379,7 +397,7 @@ _QUERIES = {
     "in_warehouses": f"select {LINE}, warehouse, stock from snap where warehouse in ('WH-A', 'WH-N')",
     "select_items": f"""
         select {LINE}, warehouse, item_code, item_name, stock from snap
-        where warehouse = 'WH-A' and item_code = 'it-007'""",
+        where warehouse = 'WH-A' and item_code = 'it-000007'""",
     "select_items_guard": f"""
         select {LINE}, warehouse, item_code, item_name from snap where item_name = 'small ring'""",
     "without_anomalies": f"select {LINE}, stock, l_tax = 0.08 as is_anomaly from snap where l_tax <> 0.08",
@@ -404,55 +422,55 @@ _QUERIES = {
     "monthly_summary": "select * from monthly",
     "item_totals": f"select {TOTAL_COLUMNS} from totals",
     "top_fast": f"select {TOTAL_COLUMNS} from fast",
-    "top_slow": f"""
-        select {TOTAL_COLUMNS} from (select * from still_totals where total_sold = 0
-          order by in_stock_days desc, item_code, warehouse limit 1000)""",
+    "top_slow": f"select {TOTAL_COLUMNS} from slow",
     "top_restocked": f"select {TOTAL_COLUMNS} from restocked_top",
     "rank_base": """
         select warehouse, item_name, item_code, sum(total_sold) as total_sold from monthly
         where item_name is not null group by all""",
-    "rank_fast": _rank("fast", "total_sold"),
-    "rank_restock": _rank("restocked_top", "total_restocked"),
-    "export_top_fast": _export("fast", "total_sold"),
-    "export_top_restock": _export("restocked_top", "total_restocked"),
+    "rank_fast": _rank("sold_totals", "total_sold"),
+    "rank_restock": _rank("totals", "total_restocked"),
+    "export_top_fast": _export("sold_totals", "total_sold"),
+    "export_top_restock": _export("totals", "total_restocked"),
     "identity_conflicts": "select * from conflicts",
     "canonical_names": f"""
-        select {LINE}, warehouse, item_code, item_name, canonical_name, name_variants, name_changed
+        select {LINE}, warehouse, item_code, item_name, canonical_name, name_changed
         from canonical""",
-    "name_variants": "select warehouse, item_code, name_variants from names",
+    "name_variants": "select distinct warehouse, item_code, item_name from snap where item_name is not null",
+    "variants_text": """
+        select warehouse, item_code, string_agg(distinct item_name, ', ' order by item_name) as name_variants
+        from snap where item_code = 'it-000007' group by warehouse, item_code""",
     "find_spikes": "select * from spikes",
     "tail_by_date": """
         select item_code, warehouse, month_start, total_sold, is_spike from spikes
         order by month_start desc, item_code desc, warehouse desc limit 200""",
     "spike_series": """
         select month_start, warehouse, item_code, item_name, 'total_sold' as metric, total_sold as value
-        from latest union all
-        select month_start, warehouse, item_code, item_name, 'avg_price', avg_price from latest union all
+        from spikes union all
+        select month_start, warehouse, item_code, item_name, 'avg_price', avg_price from spikes union all
         select month_start, warehouse, item_code, item_name, 'price_change_pct', price_change_pct
-        from latest""",
+        from spikes""",
     "name_options": """
         select distinct item_name from monthly where warehouse = 'WH-A' and item_name is not null""",
     "export_spikes": f"""
-        select {MONTH}, total_sold, trailing_avg, is_spike, turnover from spikes where warehouse = 'WH-A'""",
+        select {MONTH}, total_sold, trailing_avg, is_spike, turnover from spikes""",
     "enrich_daily": "select * from enriched",
     "enrich_daily_by_code": """
-        select m.warehouse, item_key, dt, stock, price, item_name, canonical_name, name_variants, sold,
-          restocked, price_changed, is_anomaly
+        select m.warehouse, item_key, dt, stock, price, item_name, canonical_name, sold, restocked,
+          price_changed, is_anomaly
         from metrics m join names n on m.warehouse = n.warehouse and m.item_code = n.item_code""",
-    "daily_by_day": "select warehouse, item_key, dt, stock, price, item_name from by_day",
+    "daily_by_day": "select warehouse, item_key, dt, stock, price, item_name, n_rows from by_day",
     "daily_metrics": """
         select warehouse, item_key, dt, stock, price, item_name, sold, restocked, price_changed, is_anomaly
         from metrics""",
     "price_changed": "select warehouse, item_key, dt, price, price_changed from day_moves",
     "item_line": """
         select dt, warehouse, item_key, canonical_name, stock, sold, restocked, price, price_changed,
-          is_anomaly from enriched where warehouse in ('WH-A', 'WH-N')""",
+          is_anomaly from enriched""",
     "item_series": "select * from item_days",
     "item_series_by_name": "select * from name_series",
     "day_spikes": "select warehouse, item_key, dt, sold, trailing_avg, is_spike from plain_series",
     "top_sellers": """
-        select * from sellers where warehouse in ('WH-A', 'WH-N')
-        order by sold desc, item_code, item_name, warehouse limit 100""",
+        select * from sellers order by sold desc, item_code, item_name, warehouse limit 100""",
     "drill_down": """
         select warehouse, item_key, canonical_name, dt, stock, sold from enriched
         where (item_key, canonical_name) in (
@@ -462,7 +480,9 @@ _QUERIES = {
     "options_item": "select distinct item_key from enriched",
     "options_name": "select distinct canonical_name from enriched",
     "column_widths": _WIDTHS,
-    "union_all": f"select {LINE}, dt, item_code, warehouse, stock, price from snap",
+    "union_all": f"""
+        select {LINE}, dt, item_code, warehouse, stock, price, null::varchar as item_name from snap
+        union all by name select p_brand as item_code, p_name as item_name from part""",
     "snapshots_from_grid": "select * from book_snaps",
     "resolve_as_of": f"""
         select event_id, date_text, coalesce({AS_OF}, file_ts) as as_of,
@@ -471,7 +491,6 @@ _QUERIES = {
         select warehouse, src_file, cast(n as bigint) as item_lines,
           case when undated then 'file' else 'cell' end as date_source, cast(null as varchar) as error
         from book_dates""",
-    "scan_workbooks": "select * from book_snaps",
     "read_enriched_daily": "select * replace (trim(item_name) as item_name) from enriched",
     "load_monthly": f"""
         select {MONTH}, make_timestamp(year, month, 1, 0, 0, 0) as month_start, item_name, total_sold,
@@ -479,9 +498,16 @@ _QUERIES = {
     "roundtrip_parquet": "select * from monthly",
     "roundtrip_csv": "select * from rollup",
     "month_analysis": _TABLE_COUNTS,
-    "month_analysis_totals": f"""
-        select {TOTAL_COLUMNS.replace('item_code,', "upper(replace(item_code, '-', '')) as item_code,", 1)}
-        from totals""",
+    "month_analysis_totals": f"select {CLEAN_TOTALS} from totals",
+    "month_analysis_monthly": f"select * replace ({CLEAN_CODE} as item_code) from monthly",
+    "month_analysis_transfers": f"select * replace ({CLEAN_CODE} as item_code) from transfers",
+    "month_analysis_conflicts": f"select * replace ({CLEAN_CODE} as item_code) from conflicts",
+    "month_analysis_top_fast": f"select {CLEAN_TOTALS} from fast",
+    "month_analysis_top_slow": f"select {CLEAN_TOTALS} from slow",
+    "month_analysis_top_restocked": f"select {CLEAN_TOTALS} from restocked_top",
+    "month_analysis_rollup": f"select * replace ({CLEAN_CODE} as item_code) from rollup",
+    "export_saved": _export("sold_totals", "total_sold"),
+    "read_spikes": "select * from spikes",
 }
 
 ORACLES = {name: _sql(text) for name, text in _QUERIES.items()}

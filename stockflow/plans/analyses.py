@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.daily import daily_snapshot, rollup_of
-from ..operators.flows import detect_transfers, net_of_transfers, with_flows
+from ..operators.flows import marked_transfers, net_of_transfers, transfers_of, with_flows
 from ..operators.identity import identity_conflicts
 from ..operators.monthly import item_totals, monthly_summary
 from ..operators.ranking import top_fast, top_restocked, top_slow
@@ -21,16 +21,17 @@ from ..sources.workbooks import load_snapshots
 def run_month_analysis(
     snapshots: DataFrame,
     order: Sequence[str] = LOAD_ORDER,
-    staged: bool = True,
+    staged: bool = False,
     folder: str | None = None,
     top: int = 1000,
 ) -> dict[str, DataFrame]:
     """Every table of the month analysis.
 
-    With ``staged``, the net daily flows, the monthly fact and the totals are written once, below
-    ``folder`` or the shared folder, since several tables are read from each. Netting comes before
-    the writing because it shares the placement of the flows. Without staging the plan stays lazy
-    from end to end. Snapshots are read twice: for the daily flows and for the identity check.
+    The plans stay lazy from end to end. With ``staged``, the net daily flows, the monthly fact and
+    the totals are written once, below ``folder`` or the shared folder, since several tables are
+    read from each. Netting comes before the writing because it shares the placement of the flows.
+    Snapshots are read twice: for the daily flows and for the identity check. ``top`` only cuts the
+    three top tables; nothing else is read from them.
     """
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +39,13 @@ def run_month_analysis(
 
     cleaned = clean_snapshots(snapshots)
     daily = daily_snapshot(cleaned, order, with_sum=True)
-    net = keep(net_of_transfers(with_flows(daily)), "net_flows")
+    marked = keep(marked_transfers(with_flows(daily)), "net_flows")
+    net = net_of_transfers(marked)
     monthly = keep(monthly_summary(net), "monthly")
     totals = keep(item_totals(monthly), "totals")
     return {
         "monthly": monthly,
-        "transfers": detect_transfers(net),
+        "transfers": transfers_of(marked),
         "identity_conflicts": identity_conflicts(cleaned),
         "item_totals": totals,
         "top_fast": top_fast(totals, top),
@@ -58,7 +60,7 @@ def run_from_folders(
 ) -> dict[str, DataFrame]:
     """The month analysis of workbook folders, one per warehouse, each workbook decoded once."""
     snapshots = stage(load_snapshots(spark, folders), "snapshots", folder)
-    return run_month_analysis(snapshots, folder=folder)
+    return run_month_analysis(snapshots, staged=True, folder=folder)
 
 
 def write_month_analysis(tables: Mapping[str, DataFrame], path: str) -> None:
@@ -75,6 +77,11 @@ def write_month_analysis(tables: Mapping[str, DataFrame], path: str) -> None:
             write_table(df, target)
 
 
-def run_spike_analysis(monthly: DataFrame, window: int = 3, factor: float = 1.5) -> DataFrame:
-    """The spike table of a monthly fact."""
-    return find_spikes(monthly, window, factor)
+def run_spike_analysis(
+    monthly: DataFrame, window: int = 3, factor: float = 1.5, path: str | None = None
+) -> DataFrame:
+    """The spike table of a monthly fact, written to ``path`` if one is given."""
+    spikes = find_spikes(monthly, window, factor)
+    if path is not None:
+        write_table(spikes, path)
+    return spikes

@@ -29,9 +29,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Selections of the filter queries.
-WAREHOUSES = ["WH-A", "WH-N", "WH-R"]
 SOME_WAREHOUSES = ["WH-A", "WH-N"]
-ITEM = "it-007"
+ITEM = "it-000007"
 NAME = "small ring"
 LINE = ["l_orderkey", "l_linenumber", "l_extendedprice"]
 CODE_KEYS = ["warehouse", "item_code"]
@@ -73,8 +72,19 @@ def _fast(spark, d):
     return ranking.top_fast(_totals(spark, d))
 
 
-def _restocked(spark, d):
-    return ranking.top_restocked(_totals(spark, d))
+def _sold(spark, d):
+    return _totals(spark, d).filter(F.col("total_sold") > 0)
+
+
+def _analysis(spark, d, name):
+    return run_month_analysis(fx.snap(spark, d), fx.ORDER)[name]
+
+
+def _saved(spark, name, df):
+    """A result as it is read back after writing."""
+    path = fresh_path(spark, name)
+    st.write_table(df, path)
+    return spark.read.parquet(path)
 
 
 def _all_series(spark, d):
@@ -234,9 +244,10 @@ def price_change_fraction(spark, d):
 
 @query
 def least_days(spark, d):
-    return _monthly(spark, d).select(
-        *MONTH_KEYS, F.least("in_stock_days", "distinct_days").alias("in_stock_days")
-    )
+    """Snapshot rows in stock, of which a day may have several, against distinct days."""
+    counted = dates.with_year_month(fx.snap(spark, d)).groupBy(*MONTH_KEYS)
+    counted = counted.agg(F.count_if(F.col("stock") > 0).alias("in_stock"), F.count_distinct("dt").alias("days"))
+    return counted.select(*MONTH_KEYS, "in_stock", "days", F.least("in_stock", "days").alias("in_stock_days"))
 
 
 @query
@@ -274,7 +285,7 @@ def fmt_date(spark, d):
 
 @query
 def format_report(spark, d):
-    shown = report.format_report(ranking.export_top_fast(_fast(spark, d), WAREHOUSES, 1000))
+    shown = report.format_report(ranking.export_top_fast(_sold(spark, d), n=1000, every=True))
     return shown.select(
         *ITEM_KEYS, "avg_price", "open_price", "close_price", "total_restocked", "turnover",
         "price_change_frac",
@@ -399,14 +410,12 @@ def top_fast(spark, d):
 
 @query
 def top_slow(spark, d):
-    """Items at rest: months in which an item did not sell, taken as totals of their own."""
-    still = _monthly(spark, d).filter(F.col("total_sold") == 0)
-    return _rounded(ranking.top_slow(mo.item_totals(still)))
+    return _rounded(ranking.top_slow(_totals(spark, d)))
 
 
 @query
 def top_restocked(spark, d):
-    return _rounded(_restocked(spark, d))
+    return _rounded(ranking.top_restocked(_totals(spark, d)))
 
 
 @query
@@ -416,22 +425,22 @@ def rank_base(spark, d):
 
 @query
 def rank_fast(spark, d):
-    return ranking.rank_fast(_fast(spark, d), SOME_WAREHOUSES, 100)
+    return ranking.rank_fast(_sold(spark, d), n=100, every=True)
 
 
 @query
 def rank_restock(spark, d):
-    return ranking.rank_restock(_restocked(spark, d), SOME_WAREHOUSES, 100)
+    return ranking.rank_restock(_totals(spark, d), n=100, every=True)
 
 
 @query
 def export_top_fast(spark, d):
-    return ranking.export_top_fast(_fast(spark, d), SOME_WAREHOUSES, 100)
+    return ranking.export_top_fast(_sold(spark, d), n=100, every=True)
 
 
 @query
 def export_top_restock(spark, d):
-    return ranking.export_top_restock(_restocked(spark, d), SOME_WAREHOUSES, 100)
+    return ranking.export_top_restock(_totals(spark, d), n=100, every=True)
 
 
 # Identities and names.
@@ -445,7 +454,7 @@ def identity_conflicts(spark, d):
 @query
 def canonical_names(spark, d):
     return identity.canonical_names(fx.snap(spark, d), CODE_KEYS).select(
-        *LINE, *CODE_KEYS, "item_name", "canonical_name", "name_variants", "name_changed"
+        *LINE, *CODE_KEYS, "item_name", "canonical_name", "name_changed"
     )
 
 
@@ -454,6 +463,13 @@ def name_variants(spark, d):
     return identity.name_variants(fx.snap(spark, d), CODE_KEYS)
 
 
+@query
+def variants_text(spark, d):
+    """The names of one item in all its warehouses."""
+    chosen = filters.select_items(identity.name_variants(fx.snap(spark, d), CODE_KEYS), item=ITEM)
+    return identity.variants_text(chosen, CODE_KEYS)
+
+
 # Spikes by month.
 
 
@@ -481,7 +497,7 @@ def name_options(spark, d):
 
 @query
 def export_spikes(spark, d):
-    chosen = series.export_spikes(_spikes(spark, d), warehouse="WH-A")
+    chosen = series.export_spikes(_spikes(spark, d))
     return chosen.select(*MONTH_KEYS, "total_sold", "trailing_avg", "is_spike", "turnover")
 
 
@@ -501,13 +517,13 @@ def enrich_daily_by_code(spark, d):
 @query
 def daily_by_day(spark, d):
     keyed = enrich.with_item_key(fx.snap(spark, d))
-    return da.daily_by_day(keyed, fx.ORDER).drop("canonical_name", "name_variants")
+    return da.daily_by_day(keyed, fx.ORDER).drop("canonical_name")
 
 
 @query
 def daily_metrics(spark, d):
     keyed = enrich.with_item_key(fx.snap(spark, d))
-    return enrich.daily_metrics(keyed, fx.ORDER).drop("canonical_name", "name_variants")
+    return enrich.daily_metrics(keyed, fx.ORDER).drop("canonical_name")
 
 
 @query
@@ -517,7 +533,7 @@ def price_changed(spark, d):
 
 @query
 def item_line(spark, d):
-    return series.item_line(fx.enriched(spark, d), warehouses=SOME_WAREHOUSES)
+    return series.item_line(fx.enriched(spark, d))
 
 
 @query
@@ -543,7 +559,7 @@ def day_spikes(spark, d):
 
 @query
 def top_sellers(spark, d):
-    return ranking.top_sellers(fx.enriched(spark, d), SOME_WAREHOUSES)
+    return ranking.top_sellers(fx.enriched(spark, d))
 
 
 @query
@@ -574,6 +590,7 @@ def column_widths(spark, d):
     shown = _monthly(spark, d).select(
         *MONTH_KEYS, "item_name", "manufacturer", "total_sold", "total_restocked", "last_stock",
         "min_price", "max_price", "open_price", "sale_days",
+        (F.col("total_sold") * 1_000_000 + 0.5).alias("large"), (F.col("max_price") / 100_000).alias("small"),
     )
     return report.column_widths(shown)
 
@@ -583,9 +600,10 @@ def column_widths(spark, d):
 
 @query
 def union_all(spark, d):
-    snap = fx.snap(spark, d)
-    parts = [filters.in_warehouses(snap, w) for w in WAREHOUSES]
-    return tables.union_all(parts).select(*LINE, "dt", "item_code", "warehouse", "stock", "price")
+    """Two tables with different columns: lines as snapshots, and parts that are not on a shelf."""
+    lines = fx.snap(spark, d).select(*LINE, "dt", "item_code", "warehouse", "stock", "price")
+    parts = fx.table(spark, d, "part").select(F.col("p_brand").alias("item_code"), F.col("p_name").alias("item_name"))
+    return tables.union_all([lines, None, parts])
 
 
 @query
@@ -608,13 +626,6 @@ def ingest_audit(spark, d):
     return wb.ingest_audit(fx.grid(spark, d))
 
 
-@query
-def scan_workbooks(spark, d):
-    decoded = wb.decode_workbooks(fx.workbook_files(spark, d))
-    warehouse = F.substring_index("src_file", "/", 1)
-    return wb.snapshots_from_grid(decoded.withColumn("warehouse", warehouse))
-
-
 @query
 def read_enriched_daily(spark, d):
     path = fresh_path(spark, "enriched")
@@ -652,7 +663,7 @@ def roundtrip_csv(spark, d):
 @query
 def month_analysis(spark, d):
     """Rows of every table of the month analysis."""
-    results = run_month_analysis(fx.snap(spark, d), fx.ORDER)
+    results = run_month_analysis(fx.snap(spark, d), fx.ORDER, staged=True)
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         for name, df in results.items()
@@ -663,4 +674,53 @@ def month_analysis(spark, d):
 @query
 def month_analysis_totals(spark, d):
     """Item totals of the month analysis, which cleans the codes first."""
-    return _rounded(run_month_analysis(fx.snap(spark, d), fx.ORDER, staged=False)["item_totals"])
+    return _rounded(_analysis(spark, d, "item_totals"))
+
+
+@query
+def month_analysis_monthly(spark, d):
+    return _analysis(spark, d, "monthly")
+
+
+@query
+def month_analysis_transfers(spark, d):
+    return _saved(spark, "transfers", _analysis(spark, d, "transfers"))
+
+
+@query
+def month_analysis_conflicts(spark, d):
+    return _saved(spark, "conflicts", _analysis(spark, d, "identity_conflicts"))
+
+
+@query
+def month_analysis_top_fast(spark, d):
+    return _rounded(_saved(spark, "top_fast", _analysis(spark, d, "top_fast")))
+
+
+@query
+def month_analysis_top_slow(spark, d):
+    return _rounded(_saved(spark, "top_slow", _analysis(spark, d, "top_slow")))
+
+
+@query
+def month_analysis_top_restocked(spark, d):
+    return _rounded(_saved(spark, "top_restocked", _analysis(spark, d, "top_restocked")))
+
+
+@query
+def month_analysis_rollup(spark, d):
+    return _analysis(spark, d, "daily_rollup")
+
+
+@query
+def export_saved(spark, d):
+    """An export as its users read it back."""
+    return _saved(spark, "export", ranking.export_top_fast(_sold(spark, d), n=100, every=True))
+
+
+@query
+def read_spikes(spark, d):
+    """The spike table, saved by its analysis and read back."""
+    path = fresh_path(spark, "spikes")
+    run_spike_analysis(_monthly(spark, d), path=path)
+    return _month_stamp(st.read_spikes(spark, path))

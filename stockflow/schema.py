@@ -26,7 +26,7 @@ SPIKES = MONTHLY + ", month_start date, trailing_avg double, is_spike boolean"
 
 ENRICHED_DAILY = """
     warehouse string, item_key string, dt timestamp_ntz, stock double, price double,
-    item_name string, canonical_name string, name_variants string,
+    item_name string, canonical_name string,
     sold double, restocked double, price_changed boolean, is_anomaly boolean
 """
 
@@ -53,7 +53,6 @@ DAILY_DEFAULTS = {
     "price": ("double", 0.0),
     "item_name": ("string", ""),
     "canonical_name": ("string", ""),
-    "name_variants": ("string", ""),
 }
 
 # The headings of tables users already have, and our names for them.

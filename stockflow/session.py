@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,16 +26,11 @@ def local_session(cpus: int | str = 8, name: str = "stockflow", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without it; it then gets a fresh temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="run-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import month_start, parse_dt
@@ -15,8 +14,13 @@ from ..operators.tables import conform, nan_as_null, rename
 from ..schema import ENRICHED_DAILY, HEADINGS, MONTHLY_ALIASES, MONTHLY_DEFAULTS
 from ..session import fresh_path
 
-# What Spark raises for a table that is missing or whose files cannot be opened.
-UNREADABLE = (PySparkException, Py4JError)
+#: What Spark calls a path that does not exist.
+MISSING_PATH = "PATH_NOT_FOUND"
+
+
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there; any other failure must be seen."""
+    return error.getCondition() == MISSING_PATH
 
 
 def _read(
@@ -28,6 +32,15 @@ def _read(
     return rename(rename(reader.load(path), aliases or {}), HEADINGS)
 
 
+def _read_if_there(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    try:
+        return _read(spark, path, fmt)
+    except AnalysisException as error:
+        if is_missing(error):
+            return None
+        raise
+
+
 def _cast_to(df: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in its order; absent ones are missing, unreadable values too."""
     columns = []
@@ -41,11 +54,9 @@ def _cast_to(df: DataFrame, schema: str) -> DataFrame:
 def read_table_or_empty(
     spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
 ) -> DataFrame:
-    """A table with a fixed schema; empty when it is missing or cannot be opened."""
-    try:
-        return _cast_to(_read(spark, path, fmt), schema)
-    except UNREADABLE:
-        return spark.createDataFrame([], schema)
+    """A table with a fixed schema; empty when its path does not exist. Other failures are raised."""
+    found = _read_if_there(spark, path, fmt)
+    return spark.createDataFrame([], schema) if found is None else _cast_to(found, schema)
 
 
 def read_spikes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -74,11 +85,9 @@ def clean_enriched_daily(df: DataFrame) -> DataFrame:
 
 
 def read_enriched_daily(spark: SparkSession, path: str) -> DataFrame:
-    """The enriched daily table, cleaned; empty when it cannot be opened."""
-    try:
-        return clean_enriched_daily(_read(spark, path, "parquet"))
-    except UNREADABLE:
-        return spark.createDataFrame([], ENRICHED_DAILY)
+    """The enriched daily table, cleaned; empty when its path does not exist. Other failures are raised."""
+    found = _read_if_there(spark, path, "parquet")
+    return spark.createDataFrame([], ENRICHED_DAILY) if found is None else clean_enriched_daily(found)
 
 
 def load_monthly(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -22,6 +22,7 @@ from ..functions.dates import as_of_source, parse_as_of, resolve_as_of
 from ..functions.numbers import to_number
 from ..functions.text import strip_ws
 from ..operators.tables import union_all
+from .tables import is_missing
 
 CELLS = "a string, b string, c string, d string, e string, f string"
 DECODED = f"src_file string, file_ts timestamp_ntz, as_of_cell string, src_row int, {CELLS}, error string"
@@ -89,10 +90,12 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
 
 
 def _number_text(text: str, is_date: bool) -> str:
-    number = float(text)
     if is_date:
-        return (_EPOCH + dt.timedelta(days=number)).isoformat(sep=" ", timespec="seconds")
-    return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+        return (_EPOCH + dt.timedelta(days=float(text))).isoformat(sep=" ", timespec="seconds")
+    if re.fullmatch(r"-?\d+", text):  # a code of any length stays as written
+        return text
+    number = float(text)
+    return str(int(number)) if number.is_integer() else repr(number)
 
 
 def _cell_text(cell: ElementTree.Element, strings: Sequence[str], dates: set[int]) -> str | None:
@@ -275,5 +278,7 @@ def load_snapshots(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame
 def _scan_or_none(spark: SparkSession, path: str, warehouse: str) -> DataFrame | None:
     try:
         return scan_workbooks(spark, path, warehouse)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if is_missing(error):
+            return None
+        raise

@@ -122,3 +122,44 @@ def test_report(spark):
     assert shown[1:] == ("1,234.50 ₽", "1,234", "1.23%")
     widths = {r["column"]: r["width"] for r in report.column_widths(frame).collect()}
     assert widths == {"item_name": 11, "avg_price": 11, "total_restocked": 17, "price_change_frac": 19}
+
+
+@pytest.mark.parametrize(
+    ("cell", "stamp"),
+    [
+        ("March 2, 2025", "2025-03-02"),
+        ("Mar 2 2025", "2025-03-02"),
+        ("2 March 2025 10:00", "2025-03-02 10:00"),
+        ("2 Mar, 2025 10:00:30", "2025-03-02 10:00:30"),
+        ("2025-03-02T10:00:00Z", "2025-03-02 10:00"),
+    ],
+)
+def test_worded_and_zoned_dates(spark, cell, stamp):
+    frame = spark.createDataFrame([(cell,)], "cell string")
+    assert frame.select(dates.parse_as_of("cell")).first()[0] == day(stamp)
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [
+        (12345678.5, "12345678.5"),
+        (0.0001, "0.0001"),
+        (1.5e-7, "0.00000015"),
+        (-2.5e9, "-2500000000.0"),
+        (1e22, "10000000000000000000000.0"),
+        (1.0, "1.0"),
+        (0.0, "0.0"),
+        (5e-324, "0." + "0" * 323 + "49"),
+    ],
+)
+def test_plain_numbers(spark, value, text):
+    frame = spark.createDataFrame([(value,)], "v double")
+    found = frame.select(report.plain_number(F.col("v"))).first()[0]
+    assert float(found) == value and "E" not in found
+    assert found == text or value == 5e-324
+
+
+def test_percents_have_no_separator(spark):
+    frame = spark.createDataFrame([(12.34, 1234.5), (None, None)], "price_change_frac double, avg_price double")
+    shown = report.format_report(frame).collect()
+    assert [tuple(r) for r in shown] == [("1234.00%", "1,234.50 ₽"), (None, None)]

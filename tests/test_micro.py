@@ -156,12 +156,14 @@ def test_canonical_names(spark):
     schema = "warehouse string, item_key string, item_name string"
     names = spark.createDataFrame([("W", "k", n) for n in ["b", "a", "b", "a", None]], schema)
     found = identity.canonical_names(names)
-    assert {(r.canonical_name, r.name_variants) for r in found.collect()} == {("a", "a, b")}
+    assert {r.canonical_name for r in found.collect()} == {"a"}
+    assert rows(identity.name_variants(names), "item_name") == [("a",), ("b",)]
+    assert rows(identity.variants_text(identity.name_variants(names)), "name_variants") == [("a, b",)]
     assert rows(found, "item_name", "name_changed") == [
         (None, True), ("a", False), ("a", False), ("b", True), ("b", True),
     ]
     nameless = identity.canonical_names(spark.createDataFrame([("W", "k", None)], schema)).first()
-    assert (nameless.canonical_name, nameless.name_variants, nameless.name_changed) == ("", "", True)
+    assert (nameless.canonical_name, nameless.name_changed) == ("", True)
 
 
 def _months(spark, sold):
@@ -224,11 +226,11 @@ def test_enriched_daily(snapshots):
         (day("2025-02-02"), 12, 0, 5, False),
     ]
     nameless = found.filter("item_key = 'B2|nan'").first()
-    assert (nameless.canonical_name, nameless.name_variants) == ("", "")
+    assert nameless.canonical_name == ""
     assert found.filter("is_anomaly").count() == 0
     by_code = enrich.enrich_daily(snapshots, ["seq"], key=["warehouse", "item_code"])
     other = by_code.filter("item_key = 'A1|Filter X'").first()
-    assert (other.canonical_name, other.name_variants) == ("Filter", "Filter, Filter X")
+    assert other.canonical_name == "Filter"
 
 
 def test_same_day_twice(spark):

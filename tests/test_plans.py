@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import SF_DIR
+from conftest import SF_DIR, SMALL_SF_DIR
 from stockflow import fixtures as fx
 from stockflow.operators import daily, filters, flows, monthly, ranking
 from stockflow.queries import QUERIES
@@ -37,7 +37,7 @@ def test_filters_on_keys_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "snap")
     fx.snap(spark, SF_DIR).write.parquet(path)
     days = daily.daily_snapshot(spark.read.parquet(path), fx.ORDER)
-    plan = _formatted(filters.select_items(flows.with_flows(days), warehouse="WH-A", item="it-007"))
+    plan = _formatted(filters.select_items(flows.with_flows(days), warehouse="WH-A", item="it-000007"))
     pushed = re.findall(r"PushedFilters: \[(.*?)\]", plan)
     assert pushed and all("EqualTo(warehouse,WH-A)" in p for p in pushed)
 
@@ -58,3 +58,30 @@ def test_no_python_and_no_cross_joins(spark):
     for name in ("monthly_summary", "enrich_daily", "item_series", "detect_transfers", "identity_conflicts"):
         plan = _plan(QUERIES[name](spark, SF_DIR))
         assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan), name
+
+
+def test_enriching_reads_the_snapshots_once(spark):
+    for name in ("enrich_daily", "enrich_daily_by_code"):
+        plan = _plan(QUERIES[name](spark, SF_DIR), run=True)
+        assert len(set(re.findall(r"FileScan parquet \[l_[^\]]*\]", plan))) == 1, name
+        assert plan.count("FileScan parquet [l_") == 1 or "ReusedExchange" in plan, name
+
+
+def test_only_marked_rows_are_joined_as_transfers(spark):
+    logical = flows.transfers_of(
+        flows.marked_transfers(flows.with_flows(daily.daily_snapshot(fx.snap(spark, SF_DIR), fx.ORDER)))
+    )
+    plan = logical._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    assert plan[join:].count("is_transfer") >= 2
+
+
+def test_inputs_grow_with_the_data(spark):
+    sizes = {}
+    for folder in (SF_DIR, SMALL_SF_DIR):
+        snap = fx.snap(spark, folder)
+        sizes[folder] = [snap.select(c).distinct().count() for c in ("item_code", "warehouse")]
+    assert sizes[SMALL_SF_DIR][0] > 5 * sizes[SF_DIR][0]
+    assert sizes[SMALL_SF_DIR][1] > sizes[SF_DIR][1]
+    assert QUERIES["top_slow"](spark, SF_DIR).count() > 0
+    assert QUERIES["detect_transfers"](spark, SF_DIR).count() > 0

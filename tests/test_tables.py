@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -13,12 +14,17 @@ from stockflow.schema import HEADINGS, MONTHLY, MONTHLY_DEFAULTS
 from stockflow.sources import tables as st
 
 
-def test_missing_or_broken_table_is_empty(spark, tmp_path):
-    assert st.read_table_or_empty(spark, str(tmp_path / "none"), MONTHLY).count() == 0
-    (tmp_path / "bad.parquet").write_bytes(b"no parquet")
-    empty = st.read_table_or_empty(spark, str(tmp_path / "bad.parquet"), MONTHLY)
+def test_only_a_missing_table_is_empty(spark, tmp_path):
+    empty = st.read_table_or_empty(spark, str(tmp_path / "none"), MONTHLY)
     assert empty.count() == 0 and "turnover" in empty.columns
     assert st.read_enriched_daily(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "bad.parquet").write_bytes(b"no parquet")
+    (tmp_path / "hollow").mkdir()
+    for path in ("bad.parquet", "hollow"):
+        with pytest.raises((PySparkException, Py4JError)):
+            st.read_table_or_empty(spark, str(tmp_path / path), MONTHLY).collect()
+        with pytest.raises((PySparkException, Py4JError)):
+            st.read_enriched_daily(spark, str(tmp_path / path)).collect()
     with pytest.raises(PySparkException):
         st.read_spikes(spark, str(tmp_path / "none"))
 
@@ -92,16 +98,14 @@ def test_shared_folder_comes_from_the_session(spark):
             self.values = values
 
         def get(self, key, default=None):
-            return self.values.get(key.split(".")[-1] if "checkpoint" not in key else "dir", default)
+            return self.values.get("dir" if "checkpoint" in key else "warehouse", default)
 
     class Session:
         def __init__(self, **values):
             self.conf = Conf(**values)
 
-    assert session.shared_dir(Session(dir="s3://bucket/x/", master="yarn")) == "s3://bucket/x"
-    with pytest.raises(ValueError):
-        session.shared_dir(Session(master="yarn"))
-    assert session.shared_dir(Session(master="local[2]"))
+    assert session.shared_dir(Session(dir="s3://bucket/x/", warehouse="s3://w")) == "s3://bucket/x"
+    assert session.shared_dir(Session(warehouse="s3://w/")) == "s3://w/staged"
 
 
 def test_shaping(spark):

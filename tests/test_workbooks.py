@@ -9,6 +9,7 @@ import zipfile
 
 import pytest
 
+import workbook_files as wf
 from conftest import day, rows
 from stockflow import fixtures as fx
 from stockflow.plans.analyses import run_from_folders, write_month_analysis
@@ -50,7 +51,7 @@ def _plain(date: str | None, items: list[tuple]) -> bytes:
     grid += [
         {"src_row": 5 + i, "a": None, **dict(zip("bcdef", item))} for i, item in enumerate(items)
     ]
-    return fx.encode_workbook(grid)
+    return wf.encode_workbook(grid)
 
 
 @pytest.fixture(scope="module")
@@ -121,5 +122,21 @@ def test_decoded_files_equal_the_grid_they_came_from(spark):
 
     columns = ["src_file", "src_row", "a", "b", "e", "f"]
     grid = fx.grid(spark, SF_DIR).select(*columns)
-    decoded = wb.decode_workbooks(fx.workbook_files(spark, SF_DIR)).select(*columns)
+    decoded = wb.decode_workbooks(wf.workbook_files(spark, SF_DIR)).select(*columns)
     assert decoded.exceptAll(grid).count() == 0 and grid.exceptAll(decoded).count() == 0
+
+
+def test_long_codes_stay_as_written():
+    assert wb._number_text("12345678901234567", False) == "12345678901234567"
+    assert wb._number_text("5.0", False) == "5"
+    assert wb._number_text("1.25", False) == "1.25"
+
+
+def test_every_table_of_the_analysis_is_read_back(spark, folders, tmp_path):
+    results = run_from_folders(spark, folders, str(tmp_path / "staged"))
+    write_month_analysis(results, str(tmp_path / "out"))
+    for name, df in results.items():
+        if name == "daily_rollup":
+            continue
+        found = spark.read.parquet(str(tmp_path / "out" / name)).select(*df.columns)
+        assert found.exceptAll(df).isEmpty() and df.exceptAll(found).isEmpty(), name
