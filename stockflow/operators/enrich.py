@@ -62,6 +62,9 @@ def enrich_daily(
     """
     keyed = with_item_key(df)
     daily = daily_by_day(keyed, order, extra=[c for c in key if c not in SERIES_KEYS])
-    names = name_table(daily, key, rows="n_rows")
-    named = daily.drop("canonical_name").join(names, list(key), "left")
+    if set(key) == set(NAME_KEYS):  # the key holds the name, so there is none to choose
+        named = daily.withColumn("canonical_name", F.coalesce("item_name", F.lit("")))
+    else:
+        names = name_table(daily, key, rows="n_rows")
+        named = daily.drop("canonical_name").join(names, list(key), "left")
     return _metrics(named).select(*ENRICHED)
