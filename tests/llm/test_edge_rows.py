@@ -103,10 +103,10 @@ def test_quality_of_edges(docs):
 
 def test_quality_removes_lines_then_rejects(spark):
     prose = "\n".join(" ".join(f"word{7 * i + j}" for j in range(9)) + "." for i in range(20))
-    menu = "\n".join(f"home{i} | news{i} | about{i} | login{i}" for i in range(40))
+    menu = "\n".join(f"home{i} | news{i} | about{i} | login{i}" for i in range(90))
     rows = [(1, prose), (2, prose + "\nCopyright (c) me. All rights reserved.\nNext page"), (3, prose + "\n" + menu)]
     found = quality_lines.judged(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert by_id(found, "base_failed", "n_removed_lines", "kept") == {1: (False, 0, True), 2: (False, 2, True), 3: (False, 40, False)}
+    assert by_id(found, "base_failed", "n_removed_lines", "kept") == {1: (False, 0, True), 2: (False, 2, True), 3: (False, 90, False)}
     kept = quality_lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
     assert by_id(kept, "text") == {1: (prose,), 2: (prose,)}
 
