@@ -200,11 +200,25 @@ _SIGN_HINT = re.compile(
     r"(?:dot|punkt|punto|point)(?![^\W_])|[\[({<]\s?(?:at|@|a|\.|arroba|chez)\s?[\])}>]|\s@|@\s|\s\.\s"
 )
 _DIGIT_HINT = re.compile(rf"\b(?:{_DIGIT_WORD})[ ,-]{{1,2}}(?:(?:dot\b|\.) ?)?(?:{_DIGIT_WORD})\b")
+# Words that show that "at" and "dot" around them are meant as words.
+_NO_DOMAIN = re.compile(r"(?i)@(?:the|a|an|this|that|his|her|our|my|their|its|each|every)\.|\.(?:of|the|an|and|or|for|by|on|from|with|that|this)$")
+# Numbers with letters that look like the digits 1 and 0; a part set off by a blank has a digit at least.
+_PART = r"[0-9OoIl]++(?![A-Za-z0-9])"
+_DIGIT_PART = rf"(?=[OoIl]*+[0-9]){_PART}"
+_IN_NUMBER = re.compile(rf"(?<![A-Za-z0-9]){_DIGIT_PART}(?:[.-]{_PART}|[ ]{_DIGIT_PART})*+")
+_LETTER_DIGITS = str.maketrans("OoIl", "0011")
+_NUMBER_HINT = re.compile(r"[0-9][ .-]?[OoIl]|[OoIl][ .-]?[0-9]")
 
 
 def _address(found: re.Match) -> str | None:
     new = _SIGNS.sub(lambda m: "@" if m.group("at") else ".", found.group())
-    return new if new != found.group() else None
+    return new if new != found.group() and not _NO_DOMAIN.search(new) else None
+
+
+def _number(found: re.Match) -> str | None:
+    text = found.group()
+    new = text.translate(_LETTER_DIGITS)
+    return new if new != text and sum(map(str.isdigit, text)) >= 4 else None
 
 
 def rewritten(text: str) -> Rewritten | None:
@@ -217,6 +231,9 @@ def rewritten(text: str) -> Rewritten | None:
     if _DIGIT_HINT.search(lower):
         found = found or Rewritten(text)
         found.replace(_SPELLED, _digits)
+    if _NUMBER_HINT.search(found.text if found else text):
+        found = found or Rewritten(text)
+        found.replace(_IN_NUMBER, _number)
     if any(h in lower for h in _SIGN_HINTS) and _SIGN_HINT.search(lower):
         found = found or Rewritten(text)
         found.replace(_NUMBER_DOT, lambda m: ".")

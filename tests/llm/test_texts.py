@@ -79,6 +79,9 @@ def test_plain_identifiers_stay():
         ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("call plus one four one five five five five zero one two three ok", "phone",
          "plus one four one five five five five zero one two three"),
+        ("card 4lll 1111 1111 1111 ok", "card", "4lll 1111 1111 1111"),
+        ("+49 I7O 1234567", "phone", "+49 I7O 1234567"),
+        ("ip 192.l68.O.1 end", "ip", "192.l68.O.1"),
     ],
 )
 def test_disguised_identifiers_map_back(text, kind, source):
@@ -87,7 +90,8 @@ def test_disguised_identifiers_map_back(text, kind, source):
     assert found == [source]
 
 
-@pytest.mark.parametrize("text", ["", "look at example.com and dot", "one two three", "five or six, at nine", "version 1.2.3"])
+@pytest.mark.parametrize("text", ["", "look at example.com and dot", "one two three", "five or six, at nine", "version 1.2.3",
+                                  "we met at the dot of noon", "he owes 10 I think 200 l of it"])
 def test_ordinary_text_has_no_identifiers(text):
     assert pii.find_pii(text) == ([], [])
 
