@@ -29,8 +29,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay with the probability that brings source, language and topic to their target shares."""
-    return source_mixing.sampled(docs)
+    """Documents stay with probabilities that draw source, language and topic to target shares and keep ``RATE`` of the tokens."""
+    return source_mixing.sampled(docs, rate=source_mixing.RATE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Mixing a corpus to target shares of source, language and topic by iterative proportional fitting.
 
 Token weights of the cells of source, language and topic are raked: scaled to each list of target shares in
-turn until all hold. The ratio of a cell's raked to its own tokens, scaled so that the largest is 1, is the
-probability with which its documents stay, by a hash of their id, so a rerun keeps the same ones.
+turn until all hold. The ratio of a cell's raked to its own tokens, times one factor for all cells, is the
+probability with which its documents stay, by a hash of their id, so a rerun keeps the same ones. With a rate
+the factor is the one at which that share of all tokens stays, and no probability exceeds 1; without, it is
+the one that makes the largest ratio 1, so that the rarest cell sets how much of the corpus stays.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import count_of, known, staged, unused, words
@@ -14,6 +18,8 @@ from .common import count_of, known, staged, unused, words
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent that draws the shares of a margin together: 1 leaves them, 0 makes them equal.
 SMOOTHING = 0.9
+#: Share of all tokens that the pipeline keeps.
+RATE = 0.9
 ROUNDS = 40
 #: Largest difference between a raked and a target share at which raking ends.
 TOLERANCE = 1e-9
@@ -102,18 +108,51 @@ def _error(cells: DataFrame) -> float:
     return margin.agg(F.max(F.abs(F.col("sum") - F.col("target")))).first()[0] or 0.0
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text_col: str = "text") -> DataFrame:
+def rate_factor(cells: DataFrame, rate: float) -> float:
+    """The k at which sum(tokens * min(1, k * ratio)) is the rate's share of all tokens of the cells.
+
+    The sum is concave in k, so steps along its slope approach k from below, and each but the last brings
+    further cells to the probability 1. Where cells with a ratio hold fewer tokens than asked for, k is infinite.
+    """
+    if not 0 < rate <= 1:
+        raise ValueError(f"rate must be above 0 and at most 1, not {rate}")
+    factor, full_cells = 0.0, -1
+    while True:
+        full = F.col("ratio") * factor >= 1
+        found = cells.agg(
+            F.sum("tokens").cast("double").alias("all"),
+            F.count_if(full).alias("n_full"),
+            F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)).cast("double").alias("full"),
+            F.coalesce(F.sum(F.when(~full, F.col("tokens") * F.col("ratio"))), F.lit(0.0)).alias("slope"),
+        ).first()
+        if found["n_full"] <= full_cells:
+            return factor
+        if not found["slope"]:
+            return math.inf
+        full_cells, factor = found["n_full"], (rate * found["all"] - found["full"]) / found["slope"]
+
+
+def probabilities(
+    docs: DataFrame,
+    targets: dict[str, DataFrame] | None = None,
+    text_col: str = "text",
+    rate: float | None = None,
+) -> DataFrame:
     """(source, lang, topic, tokens, share, probability) of every cell of a corpus.
 
     Without targets those of ``smoothed_targets`` are taken. Cells without a share have the probability 0.
+    With a ``rate`` about this share of all tokens stays, else the largest probability is 1.
     """
     rows, keys = with_dimensions(docs, text_col)
     rows = rows.select(*[F.col(k).alias(d) for k, d in zip(keys, (*DIMENSIONS, "tokens"), strict=True)])
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake(cells, targets or smoothed_targets(cells)).withColumn("ratio", F.col("share") / F.col("tokens"))
     raked = staged(raked, "shares")
-    top = F.lit(raked.agg(F.max("ratio")).first()[0]).cast("double")
-    chance = F.when(top > 0, F.col("ratio") / top).otherwise(0.0)
+    if rate is None:
+        top = F.lit(raked.agg(F.max("ratio")).first()[0]).cast("double")
+        chance = F.when(top > 0, F.col("ratio") / top).otherwise(0.0)
+    else:
+        chance = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.col("ratio") * rate_factor(raked, rate))).otherwise(0.0)
     return staged(raked.select(*DIMENSIONS, "tokens", "share", chance.alias("probability")), "probabilities")
 
 
@@ -129,9 +168,10 @@ def mixed(
     targets: dict[str, DataFrame] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    rate: float | None = None,
 ) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, drawn, kept) of every row; repeated rows draw alike."""
-    cells = probabilities(docs, targets, text_col)
+    cells = probabilities(docs, targets, text_col, rate)
     rows, keys = with_dimensions(docs.select(*_needed(docs, id_col, text_col)), text_col)
     rows = rows.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(d) for k, d in zip(keys, (*DIMENSIONS, "tokens"), strict=True)])
     found = rows.join(cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
@@ -149,9 +189,10 @@ def sampled(
     targets: dict[str, DataFrame] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    rate: float | None = None,
 ) -> DataFrame:
     """The rows that stay, with all their columns."""
-    cells = probabilities(docs, targets, text_col)
+    cells = probabilities(docs, targets, text_col, rate)
     rows, keys = with_dimensions(docs, text_col)
     (chance,) = unused(rows, "chance")
     cells = cells.select(*[F.col(d).alias(k) for d, k in zip(DIMENSIONS, keys, strict=False)], F.col("probability").alias(chance))

@@ -239,6 +239,30 @@ def test_sample_is_the_rows_that_mixed_keeps(spark):
     assert 0 < len(kept) < docs.count()
 
 
+def test_pipeline_keeps_its_rate_with_a_stray_document(spark):
+    import corpus_pipeline
+
+    rows = [(i, "word " * 50, "en" if i % 2 else "de", "ab"[i // 2 % 2]) for i in range(400)]
+    rows.append((400, "word", "xx", "stray"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert abs(corpus_pipeline.mixing(spark, docs, "").count() / 400 - mix.RATE) < 0.05
+
+
+def test_rate_is_the_share_of_tokens_kept(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 10_000), rng.random() ** 3) for _ in range(50)]
+    tokens = sum(n for n, _ in rows)
+    cells = spark.createDataFrame(rows, "tokens long, ratio double")
+    for rate in (0.01, 0.5, 0.99):
+        factor = mix.rate_factor(cells, rate)
+        assert sum(n * min(1, ratio * factor) for n, ratio in rows) == pytest.approx(rate * tokens)
+    some = spark.createDataFrame([(10, 0.5), (90, 0.0)], "tokens long, ratio double")
+    assert mix.rate_factor(some, 0.05) == pytest.approx(1.0)
+    assert mix.rate_factor(some, 0.9) == float("inf")
+    with pytest.raises(ValueError, match="rate"):
+        mix.rate_factor(cells, 0)
+
+
 # Toxicity.
 
 
