@@ -103,11 +103,9 @@ def turnover_by_avg_stock(df: DataFrame) -> DataFrame:
     return df.withColumn("turnover", round_to(ratio(F.col("total_sold"), F.col("avg_stock")), 2))
 
 
-def _export(
-    df: DataFrame, measure: str, warehouses: Iterable[str] | None, n: int, every: bool
-) -> DataFrame:
-    chosen = _top(_chosen(df, warehouses, every), measure, ITEM_KEYS, n)
-    rounded = round_prices(chosen)
+def export_columns(df: DataFrame) -> DataFrame:
+    """All rows in the columns of an export: rounded prices and the price change as a fraction."""
+    rounded = round_prices(df)
     if {"open_price", "close_price"} <= set(df.columns):
         rounded = rounded.withColumn(
             "price_change_frac", price_change_fraction("open_price", "close_price")
@@ -115,6 +113,12 @@ def _export(
     return rename(turnover_by_avg_stock(rounded), EXPORT_NAMES)
 
 
+def _export(
+    df: DataFrame, measure: str, warehouses: Iterable[str] | None, n: int, every: bool
+) -> DataFrame:
+    return export_columns(_top(_chosen(df, warehouses, every), measure, ITEM_KEYS, n))
+
+
 def export_top_fast(
     df: DataFrame, warehouses: Iterable[str] | None = None, n: int = 100, every: bool = False
 ) -> DataFrame:

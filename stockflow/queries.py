@@ -285,7 +285,8 @@ def fmt_date(spark, d):
 
 @query
 def format_report(spark, d):
-    shown = report.format_report(ranking.export_top_fast(_sold(spark, d), n=1000, every=True))
+    sold = ranking.rank_input(_sold(spark, d), "total_sold")
+    shown = report.format_report(ranking.export_columns(sold))
     return shown.select(
         *ITEM_KEYS, "avg_price", "open_price", "close_price", "total_restocked", "turnover",
         "price_change_frac",

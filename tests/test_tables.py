@@ -7,8 +7,8 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import day, rows
-from stockflow import session
+from conftest import SF_DIR, day, rows
+from stockflow import queries, session
 from stockflow.operators import filters, spikes, tables
 from stockflow.schema import HEADINGS, MONTHLY, MONTHLY_DEFAULTS
 from stockflow.sources import tables as st
@@ -134,3 +134,13 @@ def test_filters(spark):
     assert filters.without_anomalies(frame.drop("is_anomaly")).count() == 2
     assert [r[0] for r in filters.options(frame, "warehouse").collect()] == ["W1", "W2"]
     assert filters.to_list(("a",)) == ["a"]
+
+
+def test_report_formats_every_item_that_sold(spark, monkeypatch):
+    sold = queries._sold(spark, SF_DIR).cache()
+    many = sold.crossJoin(spark.range(100).withColumnRenamed("id", "copy"))
+    many = many.withColumn("item_code", F.concat_ws("/", "item_code", "copy")).drop("copy")
+    monkeypatch.setattr(queries, "_sold", lambda spark, d: many)
+    shown = queries.QUERIES["format_report"](spark, SF_DIR)
+    assert shown.count() == 100 * sold.count() > 1000
+    assert shown.select("price_change_frac").filter("price_change_frac not like '%\\%'").count() == 0
