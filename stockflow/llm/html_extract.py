@@ -26,6 +26,10 @@ _INLINE = frozenset(
 )
 #: Elements whose text is never shown as part of the page.
 _UNSHOWN = frozenset("head script style template noscript title svg math iframe object textarea select option datalist".split())
+#: Elements that may be in a head. Any other, and any text, ends a head whose end tag is left out.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Elements that, with all elements in them, end with their own tag if it ends in a slash.
+_FOREIGN = ("svg", "math")
 #: What an opened element closes before it, up to the elements after the bar.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -81,7 +85,16 @@ class _Tree:
     def _pop(self) -> None:
         self.open[self.stack.pop()[0]] -= 1
 
+    def _end_head(self, tag: str) -> None:
+        if not self.open["head"] or tag in _IN_HEAD:
+            return
+        if tag == "body":
+            self._close_upto({"head"}, {"template"})
+        while self.stack[-1][0] == "head":
+            self._pop()
+
     def start(self, tag: str, attributes: str) -> None:
+        self._end_head(tag)
         if tag in _INLINE or tag in _VOID:
             if tag in ("br", "img", "hr"):
                 self.block.append(" ")
@@ -125,7 +138,18 @@ class _Tree:
             self._pop()
         self._pop()
 
+    def closes_itself(self, tag: str, attributes: str) -> bool:
+        """Whether an element just opened has no content; on elements of HTML a slash says nothing."""
+        if not attributes.endswith("/") or tag in _VOID or not any(self.open[t] for t in _FOREIGN):
+            return False
+        # A slash at the end of a value without quotes belongs to the value.
+        last = attributes.split()[-1]
+        bare = last[max(last.rfind("'"), last.rfind('"')) + 1 :]
+        return "=" not in bare and not (bare == last and attributes[: -len(last)].rstrip().endswith("="))
+
     def data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self._end_head(_TEXT)
         if any(self.open[t] for t in _UNSHOWN):
             return
         data = unescape(data)
@@ -147,7 +171,9 @@ class _Tree:
                 self.end(tag)
                 continue
             self.start(tag, found["attrs"])
-            if tag in _RAW_END:
+            if self.closes_itself(tag, found["attrs"]):
+                self._pop()
+            elif tag in _RAW_END:
                 end = _RAW_END[tag].search(html, at)
                 at = end.start() if end else len(html)
         if at < len(html):

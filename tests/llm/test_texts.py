@@ -281,3 +281,31 @@ def test_small_pages(weights, html, text):
 @pytest.mark.parametrize("part", ["<", "<!", "<!--", '<a b="', "&", "<a ", "</", "<script>", "<div>", "<p>", "<li>", "<b>", "<?"])
 def test_hostile_pages_end(weights, part):
     html_extract.main_text(part * 20_000, weights)
+
+
+_PROSE = "This is the first paragraph of the page, and it has some words."
+_BODY = f"<article><h1>A title</h1><p>{_PROSE}</p><p>{_PROSE}</p></article>"
+_BODY_TEXT = f"A title\n{_PROSE}\n{_PROSE}"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>x</title><body>{_BODY}",
+        f"<html><head><meta charset=utf-8><title>x</title><style>y</style>{_BODY}",
+        f"<head><noscript><link href=z><body>{_BODY}",
+        f"<head><title>x</title></head><body>{_BODY}",
+        f"<html><body><svg/>{_BODY}</body></html>",
+        f"<html><body><svg class='a=b' width=\"1\" />{_BODY}</body></html>",
+        f"<html><body><svg><style/><path d=''/></svg>{_BODY}</body></html>",
+        f"<html><body><math/>{_BODY}</body></html>",
+    ],
+)
+def test_open_heads_and_closed_drawings_hide_nothing(weights, html):
+    assert html_extract.main_text(html, weights) == _BODY_TEXT
+
+
+def test_what_is_unshown_stays_so():
+    for html in ("<head><title>x</title><noscript><p>y</noscript><script>z", "<svg width=1/>x", "<svg width= 1/>x", "<svg>x", "<title/>x"):
+        assert not [n.text for n in html_extract.parse(html) if n.text], html
+    assert [n.text for n in html_extract.parse("<head> <meta> Text</head>more<div/>inside") if n.text] == ["Text", "more", "inside"]
