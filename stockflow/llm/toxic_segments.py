@@ -28,7 +28,8 @@ VOCABULARY = 50_000
 PREFIXES = (3, 4, 5)
 PRIOR = 4.0
 DRIFT = 1.0
-#: Scores closer than this to that of the shorter beginning are not kept apart from it.
+#: Scores closer than this to that of the longest shorter beginning with a score of its own, or to 0 without one,
+#: are not kept apart from it. It bounds what a word's score loses.
 APART = 0.4
 #: Bounds of the extreme-value rate, for samples in which chance segments are absent.
 LEAST_RATE, MOST_RATE = 0.2, 3.0
@@ -117,6 +118,7 @@ def probability(value: float, model: ToxicModel) -> float:
 def word_odds(sample: DataFrame, text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(feature, score, apart): log-odds of words and of beginnings of words in a labelled sample.
 
+    ``apart`` is the distance to the score of the longest shorter beginning that is kept by ``APART``, or to 0.
     A word counts once for each pair of neighbours, so copies of a text add nothing.
     """
 
@@ -136,7 +138,9 @@ def word_odds(sample: DataFrame, text_col: str = "text", label_col: str = "toxic
     a, b = F.col("a") * (each / all_a if all_a else 0.0), F.col("b") * (each / all_b if all_b else 0.0)
     share = (a + PRIOR * F.coalesce("above", F.lit(0.5))) / (a + b + PRIOR)
     odds = F.ln(share / (1 - share))
-    above_odds = F.coalesce(F.ln(F.col("above") / (1 - F.col("above"))), F.lit(0.0))
+    apart = F.col("score") - F.coalesce("above_given", F.lit(0.0))
+    # What a word gets that falls back to this beginning.
+    given = F.when(F.abs("apart") >= APART, F.col("score")).otherwise(F.col("score") - F.col("apart"))
     found, levels = None, None
     for size in (*PREFIXES, None):
         if size:
@@ -145,15 +149,16 @@ def word_odds(sample: DataFrame, text_col: str = "text", label_col: str = "toxic
         else:
             own = counts.withColumnRenamed("word", "key").withColumn("size", F.lit(0))
         if levels is None:
-            own = own.withColumn("above", F.lit(None).cast("double"))
+            own = own.withColumns({c: F.lit(None).cast("double") for c in ("above", "above_given")})
         else:
             length = F.length("key") if size is None else F.lit(size)
             up = F.when(length > F.lit(PREFIXES[0]), F.least(length - 1, F.lit(PREFIXES[-1])))
             own = own.withColumn("up", F.substring("key", F.lit(1), up))
-            above = levels.select(F.col("key").alias("up"), F.col("share").alias("above"))
+            above = levels.select(F.col("key").alias("up"), F.col("share").alias("above"), F.col("given").alias("above_given"))
             own = own.join(above, "up", "left").drop("up")
         name = F.concat("key", F.lit("*")) if size else F.col("key")
-        own = own.select("key", name.alias("feature"), share.alias("share"), odds.alias("score"), (odds - above_odds).alias("apart"))
+        own = own.select("key", name.alias("feature"), share.alias("share"), odds.alias("score"), "above_given")
+        own = own.withColumn("apart", apart).withColumn("given", given).drop("above_given")
         own = staged(own, "word-odds")
         levels = own if levels is None else levels.unionByName(own)
         found = levels

@@ -299,6 +299,22 @@ def test_chance_fit_recovers_its_parameters():
     assert found[0] == pytest.approx(rate, rel=0.05) and found[1] == pytest.approx(log_k, abs=0.2)
 
 
+def test_words_without_a_score_of_their_own_fall_back_to_a_near_one(spark):
+    """Each beginning is less than APART from the next, and the word is far from the first."""
+    rng = random.Random(8)
+    letters = "bcdfghklmn"
+    rows = []
+    for word, toxic, n in (("abcdefg", 77, 100), ("abcdexy", 63, 100), ("abcdxyz", 108, 200), ("abcxyzz", 192, 400)):
+        for i in range(n):
+            around = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(2)]
+            rows.append((int(i < toxic), f"{around[0]} {word} {around[1]}"))
+    odds = tox.word_odds(spark.createDataFrame(rows, "toxic int, text string")).collect()
+    model = tox.ToxicModel({r.feature: r.score for r in odds if abs(r.apart) >= tox.APART})
+    scores = {r.feature: r.score for r in odds if not r.feature.endswith("*")}
+    assert scores["abcdefg"] > 0.9
+    assert all(abs(model.word_score(word) + tox.DRIFT - own) < tox.APART + 1e-9 for word, own in scores.items())
+
+
 def test_held_out_toxic_documents_are_told_apart(spark):
     folder = "/root/testdata/sf0.01"
     found = queries.op7_toxic_segments(spark, folder).join(table(spark, folder, "labels"), "doc_id").toPandas()
