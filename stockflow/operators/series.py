@@ -56,11 +56,10 @@ def item_series(
 
     One series per warehouse, in which several items of one name follow each other by date
     and key; such a series has no bound and is windowed by day with a halo, so a group holds one
-    warehouse's items of one day. It needs a selection: a whole table is many items, and asks for
-    ``per_item``, where each item has its own series of at most one row per calendar day.
+    warehouse's items of one day. Without a selection there are no rows, unless ``require_any`` is
+    False: then it is the whole table, in which items of a warehouse follow each other. With
+    ``per_item`` each item has its own series of at most one row per calendar day.
     """
-    if not (per_item or item or name):
-        require_any = True
     chosen = _chosen(in_warehouses(without_anomalies(daily), warehouses), item, name, require_any)
     columns = ["dt", "warehouse", "item_key", "canonical_name", "stock", "price"]
     series = require(chosen, ["warehouse", "dt"]).select(*columns)

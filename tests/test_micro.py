@@ -199,6 +199,15 @@ def test_item_series(spark, days):
     assert rows(alone, *found.columns) == rows(found, *found.columns)
 
 
+def test_item_series_of_the_whole_table(days):
+    frame = days.withColumnsRenamed({"item_code": "item_key", "item_name": "canonical_name"})
+    found = series.item_series(frame, require_any=False)
+    assert rows(found, "warehouse", "dt", "item_key") == rows(frame, "warehouse", "dt", "item_key")
+    assert rows(found.filter("warehouse = 'W2'"), *found.columns) == rows(
+        series.item_series(frame, warehouses="W2", item="A1"), *found.columns
+    )
+
+
 def test_items_of_one_name_share_a_series(spark):
     data = [
         (day(d), "W", k, "n", float(s), 1.0)
