@@ -105,8 +105,16 @@ def _mixing() -> str:
             scaled = f"weight * (target_{d} / sum(weight) over (partition by {d}))"
             parts.append(f"step_{step + 1} as materialized (select * exclude (weight), {scaled} as weight from step_{step})")
             step += 1
-    parts.append(f"ratios as (select {dims}, weight / tokens as ratio from step_{step})")
-    parts.append(f"chances as (select {dims}, ratio / (select max(ratio) from ratios) as probability from ratios)")
+    # With the m cells of the largest ratios whole, the factor is what the others need to reach the rate; the first
+    # m that leaves no other above 1 is the right one.
+    upto = "over (order by ratio desc, source, lang, topic rows unbounded preceding)"
+    parts.append(f"ratios as (select {dims}, tokens, weight / tokens as ratio from step_{step})")
+    parts.append(f"ordered as (select *, sum(tokens) {upto} - tokens as whole, sum(tokens * ratio) {upto} - tokens * ratio as above from ratios)")
+    parts.append(
+        f"factors as (select ratio, ({m.RATE} * (select sum(tokens) from ratios) - whole) / ((select sum(tokens * ratio) from ratios) - above) as k from ordered)"
+    )
+    parts.append("factor as (select first(k order by ratio desc) as k from factors where k * ratio <= 1)")
+    parts.append(f"chances as (select {dims}, least(1.0, ratio * (select k from factor)) as probability from ratios)")
     key = "coalesce(doc_id::varchar, 'null')"
     parts.append(
         f"drawn as (select *, ('0x' || substr(md5('{m._SEED}:' || {key}), 1, 13))::ubigint::double / {m._HASH_RANGE}::double as drawn from docs)"

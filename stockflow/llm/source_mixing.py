@@ -2,14 +2,19 @@
 
 Token weights of the cells of source, language and topic are raked: scaled to each list of target shares in
 turn until all hold. The ratio of a cell's raked to its own tokens, times one factor for all cells, is the
-probability with which its documents stay, by a hash of their id, so a rerun keeps the same ones. With a rate
-the factor is the one at which that share of all tokens stays, and no probability exceeds 1; without, it is
-the one that makes the largest ratio 1, so that the rarest cell sets how much of the corpus stays.
+probability with which its documents stay, by a hash of their id, so a rerun keeps the same ones. The factor is
+the one at which a stated share of all tokens stays, and no probability exceeds 1, so a rare cell only stays
+below its target and never decides how much of the rest goes.
+
+Targets are a table (dimension, value, share); topics and tokens are columns of the documents where they have
+such. Without them the operator makes do with targets drawn from the corpus's own shares, with words as tokens
+and with the form of a text as its topic.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,11 +23,11 @@ from .common import count_of, known, staged, unused, words
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent that draws the shares of a margin together: 1 leaves them, 0 makes them equal.
 SMOOTHING = 0.9
-#: Share of all tokens that the pipeline keeps.
+#: Share of all tokens that stays.
 RATE = 0.9
 ROUNDS = 40
 #: Largest difference between a raked and a target share at which raking ends.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-12
 _HASH_RANGE = 1 << 52
 _SEED = "mixing"
 
@@ -46,22 +51,33 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def with_dimensions(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """The rows with a key column for each dimension and their tokens; missing sources and languages are one each."""
+def with_dimensions(
+    docs: DataFrame, text_col: str = "text", topic_col: str | None = None, tokens_col: str | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The rows with a key column for each dimension and their tokens.
+
+    Missing sources, languages and topics are one value each, the empty one. Tokens that are missing or below 1
+    count as 1. Without ``topic_col`` and ``tokens_col`` both come from the text.
+    """
     keys = unused(docs, *(f"key_{d}" for d in DIMENSIONS), "tokens")
     columns = {c.lower() for c in docs.columns}
-    values = [F.coalesce(F.col(d).cast("string"), F.lit("")) if d in columns else F.lit("") for d in DIMENSIONS[:2]]
-    values += [topic_of(F.col(text_col)), token_count(F.col(text_col))]
+    named = [d if d in columns else None for d in DIMENSIONS[:2]]
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("") for c in (*named, topic_col)]
+    if not topic_col:
+        values[2] = topic_of(F.col(text_col))
+    given = F.greatest(F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(1)), F.lit(1)) if tokens_col else None
+    values.append(token_count(F.col(text_col)) if given is None else given)
     return docs.withColumns(dict(zip(keys, values, strict=True))), keys
 
 
-def smoothed_targets(cells: DataFrame, smoothing: float = SMOOTHING) -> dict[str, DataFrame]:
-    """Target shares of each margin: its own shares to the power of ``smoothing``, brought to the sum 1."""
-    found = {}
+def smoothed_targets(cells: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """(dimension, value, share): each margin's own shares to the power of ``smoothing``, brought to the sum 1."""
+    found = []
     for d in DIMENSIONS:
-        margin = cells.groupBy(d).agg(F.pow(F.sum("tokens"), smoothing).alias("part"))
-        found[d] = margin.select(d, (F.col("part") / _total(margin, "part")).alias("target"))
-    return found
+        margin = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens"), smoothing).alias("part"))
+        share = F.col("part") / _total(margin, "part")
+        found.append(margin.select(F.lit(d).alias("dimension"), "value", share.alias("share")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _total(df: DataFrame, column: str) -> Column:
@@ -69,16 +85,22 @@ def _total(df: DataFrame, column: str) -> Column:
     return F.lit(df.agg(F.sum(column)).first()[0]).cast("double")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (source, lang, topic, tokens) with their raked share of the whole.
 
-    Cells are few, one for each combination that occurs, however many documents there are. A value without a
-    target counts as target 0 and its cells get nothing; targets of values that do not occur are left out, and
-    the rest scaled to the sum 1. Each round is written, so plans stay short.
+    ``targets`` has a row (dimension, value, share) for each value of a margin. A value without one counts as
+    target 0 and its cells get nothing; targets of values that do not occur are left out, and the rest scaled to
+    the sum 1. A dimension without any target keeps its own shares. Cells are one for each combination that
+    occurs, usually few however many documents there are; no step relies on that. Each round is written, so
+    plans stay short.
     """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
-        own = staged(cells.select(d).distinct().join(targets[d], d, "left").fillna(0.0, ["target"]), "targets")
+        wanted = targets.where(F.col("dimension") == d)
+        wanted = wanted.select(F.col("value").cast("string").alias(d), F.col("share").cast("double").alias("target"))
+        if wanted.isEmpty():
+            wanted = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("target"))
+        own = staged(cells.select(d).distinct().join(wanted, d, "left").fillna(0.0, ["target"]), "targets")
         total = _total(own, "target")
         own = own.select(d, F.when(total > 0, F.col("target") / total).otherwise(0.0).alias(f"target_{d}"))
         now = now.join(own, d)
@@ -134,25 +156,23 @@ def rate_factor(cells: DataFrame, rate: float) -> float:
 
 def probabilities(
     docs: DataFrame,
-    targets: dict[str, DataFrame] | None = None,
+    targets: DataFrame | None = None,
     text_col: str = "text",
-    rate: float | None = None,
+    rate: float = RATE,
+    topic_col: str | None = None,
+    tokens_col: str | None = None,
 ) -> DataFrame:
-    """(source, lang, topic, tokens, share, probability) of every cell of a corpus.
+    """(source, lang, topic, tokens, share, probability) of every cell of a corpus; of an empty one, none.
 
-    Without targets those of ``smoothed_targets`` are taken. Cells without a share have the probability 0.
-    With a ``rate`` about this share of all tokens stays, else the largest probability is 1.
+    Without targets those of ``smoothed_targets`` are taken. Cells without a share have the probability 0; of
+    the tokens of all cells about the share ``rate`` stays, or all that have a share if these are fewer.
     """
-    rows, keys = with_dimensions(docs, text_col)
+    rows, keys = with_dimensions(docs, text_col, topic_col, tokens_col)
     rows = rows.select(*[F.col(k).alias(d) for k, d in zip(keys, (*DIMENSIONS, "tokens"), strict=True)])
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets or smoothed_targets(cells)).withColumn("ratio", F.col("share") / F.col("tokens"))
+    raked = rake(cells, smoothed_targets(cells) if targets is None else targets).withColumn("ratio", F.col("share") / F.col("tokens"))
     raked = staged(raked, "shares")
-    if rate is None:
-        top = F.lit(raked.agg(F.max("ratio")).first()[0]).cast("double")
-        chance = F.when(top > 0, F.col("ratio") / top).otherwise(0.0)
-    else:
-        chance = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.col("ratio") * rate_factor(raked, rate))).otherwise(0.0)
+    chance = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.col("ratio") * rate_factor(raked, rate))).otherwise(0.0)
     return staged(raked.select(*DIMENSIONS, "tokens", "share", chance.alias("probability")), "probabilities")
 
 
@@ -165,35 +185,44 @@ def drawn(id_col: str) -> Column:
 
 def mixed(
     docs: DataFrame,
-    targets: dict[str, DataFrame] | None = None,
+    targets: DataFrame | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rate: float | None = None,
+    rate: float = RATE,
+    topic_col: str | None = None,
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, drawn, kept) of every row; repeated rows draw alike."""
-    cells = probabilities(docs, targets, text_col, rate)
-    rows, keys = with_dimensions(docs.select(*_needed(docs, id_col, text_col)), text_col)
+    cells = probabilities(docs, targets, text_col, rate, topic_col, tokens_col)
+    rows = docs.select(*_needed(docs, id_col, text_col, topic_col, tokens_col))
+    rows, keys = with_dimensions(rows, text_col, topic_col, tokens_col)
     rows = rows.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(d) for k, d in zip(keys, (*DIMENSIONS, "tokens"), strict=True)])
     found = rows.join(cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
     found = found.withColumn("drawn", drawn("doc_id")).withColumn("kept", F.col("drawn") < F.col("probability"))
     return found.select("doc_id", *DIMENSIONS, "tokens", "probability", "drawn", "kept")
 
 
-def _needed(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    wanted = {id_col, text_col, *DIMENSIONS[:2]}
+def _needed(docs: DataFrame, *columns: str | None) -> list[str]:
+    wanted = {*columns, *DIMENSIONS[:2]}
     return [c for c in docs.columns if c in wanted]
 
 
 def sampled(
     docs: DataFrame,
-    targets: dict[str, DataFrame] | None = None,
+    targets: DataFrame | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rate: float | None = None,
+    rate: float = RATE,
+    topic_col: str | None = None,
+    tokens_col: str | None = None,
 ) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    cells = probabilities(docs, targets, text_col, rate)
-    rows, keys = with_dimensions(docs, text_col)
+    """The rows that stay, with all their columns.
+
+    Null and empty texts count one token and draw like any other; repeated rows stay or go together. Of an empty
+    frame nothing stays.
+    """
+    cells = probabilities(docs, targets, text_col, rate, topic_col, tokens_col)
+    rows, keys = with_dimensions(docs, text_col, topic_col, tokens_col)
     (chance,) = unused(rows, "chance")
     cells = cells.select(*[F.col(d).alias(k) for d, k in zip(DIMENSIONS, keys, strict=False)], F.col("probability").alias(chance))
     found = rows.join(cells, keys[:3])

@@ -23,8 +23,6 @@ from .common import per_text, staged, unused
 
 #: Labelled rows that a model is fitted on, about: the rest is left out by a hash of the id.
 SAMPLE = 20_000
-#: Words and beginnings of words with a score of their own, at most.
-VOCABULARY = 50_000
 PREFIXES = (3, 4, 5)
 PRIOR = 4.0
 DRIFT = 1.0
@@ -66,7 +64,11 @@ class ToxicModel:
 
 
 def word_list(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The words of a text in lower case. They are found in the text itself, as lower case may be longer than it."""
+    lower = text.lower()
+    if len(lower) == len(text):
+        return _WORD.findall(lower)
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -213,12 +215,12 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     sample: int = SAMPLE,
-    vocabulary: int = VOCABULARY,
 ) -> ToxicModel:
     """A model from the labelled rows that are not held out (crc32 of the id mod 5 is 0).
 
-    About ``sample`` of them are used, chosen by a hash of the id, so what reaches the driver is bounded: one
-    score for each of at most ``vocabulary`` words, and three numbers for each row of the fifth that calibrates.
+    About ``sample`` of them are used, chosen by a hash of the id, which bounds what reaches the driver: a score
+    for each word of their texts that stands ``APART``, and three numbers for each row of the fifth that
+    calibrates. Null texts count as empty; labels other than 0 and 1 are left out.
     Without rows of both labels the model knows nothing and gives every text the share of the label 1, or 0.
     """
     label, known_labels = F.col(label_col).cast("int"), labels.where(F.col(label_col).isin(0, 1))
@@ -238,8 +240,7 @@ def fit(
     if not share or share == 1:
         return ToxicModel(offset=-30.0 if not share else 30.0)
     odds = word_odds(learn, "text", "label").where(F.abs("apart") >= APART)
-    kept = odds.orderBy(F.abs("apart").desc(), "feature").limit(vocabulary).collect()
-    model = ToxicModel({r["feature"]: r["score"] for r in kept})
+    model = ToxicModel({r["feature"]: r["score"] for r in odds.select("feature", "score").toLocalIterator()})
 
     def best(pairs: Iterator[tuple[int, str]]) -> Iterator[tuple]:
         for y, text in pairs:
@@ -272,7 +273,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             chance, places, passages = model.log_k + math.log(max(1, n)), None, []
             for s, first, end in found:
                 if model.rate * s > chance:
-                    places = places or [m.span() for m in _WORD.finditer(text.lower())]
+                    places = places or [m.span() for m in _WORD.finditer(text)]
                     span = {"start": places[first][0], "end": places[end - 1][1], "excess": model.rate * s - chance}
                     passages.append(span)
             yield key, probability(evidence(n, found, model), model), passages
@@ -282,7 +283,11 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows scored below the limit, with all their columns."""
+    """The rows scored below the limit, with all their columns.
+
+    Null and empty texts have the weakest evidence and stay as long as that is below the limit. Repeated rows
+    stay or go together; of an empty frame nothing is returned.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

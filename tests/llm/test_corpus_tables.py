@@ -220,10 +220,8 @@ def test_raking_meets_given_targets(spark):
     rng = random.Random(4)
     cells = {(s, lang, t): rng.randint(1, 1000) for s in "abc" for lang in "xy" for t in "pqr"}
     targets = [{"a": 0.2, "b": 0.3, "c": 0.5}, {"x": 0.6, "y": 0.4}, {"p": 0.5, "q": 0.5}]
-    frames = {
-        d: spark.createDataFrame(list(t.items()), f"{d} string, target double")
-        for d, t in zip(mix.DIMENSIONS, targets, strict=True)
-    }
+    wanted = [(d, value, share) for d, t in zip(mix.DIMENSIONS, targets, strict=True) for value, share in t.items()]
+    frames = spark.createDataFrame(wanted, "dimension string, value string, share double")
     df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
     found = {(r.source, r.lang, r.topic): r.share for r in mix.rake(df, frames).collect()}
     assert found == pytest.approx(slow_rake(cells, targets), abs=1e-6)
@@ -239,13 +237,32 @@ def test_sample_is_the_rows_that_mixed_keeps(spark):
     assert 0 < len(kept) < docs.count()
 
 
-def test_pipeline_keeps_its_rate_with_a_stray_document(spark):
+def test_stray_document_leaves_the_share_kept_as_it_is(spark):
+    """Neither the operator nor the stage lets one document of a rare kind decide about the others."""
     import corpus_pipeline
 
-    rows = [(i, "word " * 50, "en" if i % 2 else "de", "ab"[i // 2 % 2]) for i in range(400)]
-    rows.append((400, "word", "xx", "stray"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert abs(corpus_pipeline.mixing(spark, docs, "").count() / 400 - mix.RATE) < 0.05
+    rows = [(i, "word " * 50, "en" if i % 3 else "de", "aab"[i // 3 % 3]) for i in range(4000)]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, schema)
+    stray = docs.union(spark.createDataFrame([(4000, "word", "xx", "stray")], schema))
+    shares = [mix.mixed(d).where("kept").count() / 4000 for d in (docs, stray)]
+    assert abs(shares[0] - mix.RATE) < 0.02 and abs(shares[0] - shares[1]) < 0.01
+    assert abs(corpus_pipeline.mixing(spark, stray, "").count() / 4000 - shares[1]) < 0.01
+
+
+def test_given_targets_topics_and_tokens_are_used(spark):
+    rows = [(i, None, "en", "ab"[i % 2], "xy"[i // 2 % 2], 10 if i % 2 else None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, theme string, size long")
+    targets = [("topic", "x", 0.75), ("topic", "y", 0.25), ("topic", "absent", 5.0)]
+    targets = spark.createDataFrame(targets, "dimension string, value string, share double")
+    cells = mix.probabilities(docs, targets, rate=0.25, topic_col="theme", tokens_col="size").collect()
+    assert {(r.source, r.topic): r.tokens for r in cells} == {("a", "x"): 500, ("a", "y"): 500, ("b", "x"): 5000, ("b", "y"): 5000}
+    kept = Counter()
+    for r in cells:
+        kept[r.topic] += r.tokens * r.probability
+    # Sources and languages have no target and keep their own shares.
+    assert kept["x"] == pytest.approx(3 * kept["y"]) and sum(kept.values()) == pytest.approx(0.25 * 11_000)
+    assert {r.source: r.share for r in cells if r.topic == "x"} == pytest.approx({"a": 0.75 / 11, "b": 7.5 / 11})
 
 
 def test_rate_is_the_share_of_tokens_kept(spark):

@@ -177,6 +177,13 @@ def test_toxic_rows_go(spark, model):
     assert [text[p.start : p.end] for p in passages[2][0]] == ["idiot and idiot and idiot"]
 
 
+def test_passages_are_places_in_the_text_itself(spark, model):
+    """Lower case of a text with a dotted capital I is longer than the text."""
+    text = "İİİİ you IDIOT here"
+    found = toxic_segments.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [text[p.start : p.end] for p in found.passages] == ["IDIOT"]
+
+
 # The pipeline.
 
 
