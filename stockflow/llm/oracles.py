@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_lines as q, source_mixing as m
+from . import chat_format as c, fill_middle as f, quality_lines as q, source_mixing as m
 
 _WHITE = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = f"[x for x in string_split(translate({{}}, {_WHITE}, '     '), ' ') if x <> '']"
@@ -133,3 +133,67 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
 from (select doc_id, coalesce(text, '') as text from documents)
 window same as (partition by text)
 """
+
+
+def _chat() -> str:
+    """Formatting keeps every turn, so reading it back gives the turns of the table."""
+    escape = _text(c.patterns()[0])
+    extra = "</s>[INST] ok [/INST]"
+    block = len(c.CHAT.start + c.CHAT.body + c.CHAT.end + c.CHAT.after)
+    return f"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '{extra}'), (-7, 1, 'assistant', '{extra}')
+),
+placed as (
+    select *, length(regexp_replace(text, {escape}, '\\1\\\\\\2', 'g')) as size,
+        length(regexp_replace(role, {escape}, '\\1\\\\\\2', 'g')) as role_size,
+        lag(role) over (partition by conv_id order by turn nulls first, role, text) is distinct from role as opens
+    from turns
+),
+chats as (
+    select conv_id, count(*) as n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as spoken,
+        coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss,
+        sum(size + case when opens then role_size + {block} else {len(c.CHAT.join)} end) as formatted_chars,
+        count(*) filter (opens) as n_blocks
+    from placed group by conv_id
+)
+select conv_id, n_turns::bigint as n_turns, sha256(spoken) as turns_sha256, length(loss)::bigint as loss_chars,
+    sha256(loss) as loss_sha256, formatted_chars::bigint as formatted_chars, n_blocks::bigint as n_blocks
+from chats
+"""
+
+
+CHAT = _chat()
+
+FILL_MIDDLE = f"""
+with texts as (
+    select doc_id, coalesce(text, '') as text, sha256('{f.SEED}:' || coalesce(doc_id::varchar, 'null')) as h from documents
+),
+lines as (select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units from texts),
+drawn as (
+    select *, len(units) as n, ('0x' || h[1:8])::ubigint as h1, ('0x' || h[9:16])::ubigint as h2,
+        ('0x' || h[17:24])::ubigint as h3, ('0x' || h[25:32])::ubigint as h4
+    from lines
+),
+cut as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+        case when {" or ".join(f"contains(text, '{mark}')" for mark in f.MARKS)} or text = '' or h3 % 100 >= {f.RATE}
+            then 'plain' when h4 % 100 < {f.SUFFIX_FIRST} then 'spm' else 'psm' end as form
+    from drawn
+),
+parts as (
+    select *, array_to_string(units[1:low], '') as prefix, array_to_string(units[low + 1:high], '') as middle,
+        array_to_string(units[high + 1:], '') as suffix
+    from cut
+)
+select doc_id, n::bigint as n, form,
+    case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+    case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+    sha256(case form when 'plain' then text
+        when 'psm' then '{f.PREFIX}' || prefix || '{f.SUFFIX}' || suffix || '{f.MIDDLE}' || middle
+        else '{f.SUFFIX}' || suffix || '{f.PREFIX}' || prefix || '{f.MIDDLE}' || middle end) as output_sha256,
+    sha256(text) as restored_sha256
+from parts
+"""
