@@ -19,6 +19,7 @@ from . import (
     secret_entropy,
     simhash_bktree,
     source_mixing,
+    spelling_variants,
     token_prefix,
     toxic_segments,
 )
@@ -80,6 +81,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -103,6 +108,7 @@ _ALL = (
     op8_secret_scan,
     op9_exact_dedup,
     op10_simhash_near_dedup,
+    op11_spelling_variants,
     op12_chat_formatting,
     op13_fill_in_middle,
 )
