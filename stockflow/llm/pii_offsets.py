@@ -164,20 +164,24 @@ _DIGIT_WORDS = (
 _DIGIT_OF = {w: str(d) for d, ws in enumerate(_DIGIT_WORDS) for w in ws.split("|")}
 _DIGIT_WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SPELLED_PART = re.compile(rf"(?i)\b(?:{_DIGIT_WORD})\b|[0-9]+|\+|\bplus\b|\bdot\b|\.")
-#: At least four digits, two of them in a row as words; single dots may stand between them.
+#: At least four digits, some of them as words; single dots may stand between them.
 _SPELLED = re.compile(
     rf"(?i)(?<![^\W_])(?:(?:plus\b|\+)[ -]*)?(?:(?:{_DIGIT_WORD})\b|[0-9]+)"
     rf"(?:[ ,-]{{0,2}}(?:(?:dot\b|\.)[ ]?)?(?:(?:{_DIGIT_WORD})\b|[0-9]+)){{3,}}"
 )
 _TWO_WORDS = re.compile(rf"(?i)\b(?:{_DIGIT_WORD})[ ,-]{{1,2}}(?:(?:dot\b|\.)[ ]?)?(?:{_DIGIT_WORD})\b")
+#: Digits from which a run is an identifier although words and figures take turns in it.
+LONG_RUN = 10
 
 
 def _digits(found: re.Match) -> str | None:
     text = found.group()
-    if not _TWO_WORDS.search(text):
-        return None
-    parts = (p.group().lower() for p in _SPELLED_PART.finditer(text))
-    return "".join("+" if p in ("plus", "+") else "." if p in ("dot", ".") else _DIGIT_OF.get(p, p) for p in parts)
+    parts = [p.group().lower() for p in _SPELLED_PART.finditer(text)]
+    new = "".join("+" if p in ("plus", "+") else "." if p in ("dot", ".") else _DIGIT_OF.get(p, p) for p in parts)
+    if _TWO_WORDS.search(text):
+        return new
+    spelled = any(p in _DIGIT_OF for p in parts)
+    return new if spelled and sum(map(str.isdigit, new)) >= LONG_RUN else None
 
 
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
@@ -199,9 +203,24 @@ _SIGN_HINTS = ("dot", "punkt", "punto", "point", "[", "(", "{", "<", " @", "@ ",
 _SIGN_HINT = re.compile(
     r"(?:dot|punkt|punto|point)(?![^\W_])|[\[({<]\s?(?:at|@|a|\.|arroba|chez)\s?[\])}>]|\s@|@\s|\s\.\s"
 )
-_DIGIT_HINT = re.compile(rf"\b(?:{_DIGIT_WORD})[ ,-]{{1,2}}(?:(?:dot\b|\.) ?)?(?:{_DIGIT_WORD})\b")
-# Words that show that "at" and "dot" around them are meant as words.
-_NO_DOMAIN = re.compile(r"(?i)@(?:the|a|an|this|that|his|her|our|my|their|its|each|every)\.|\.(?:of|the|an|and|or|for|by|on|from|with|that|this)$")
+_DIGIT_HINT = re.compile(
+    rf"\b(?:{_DIGIT_WORD})[ ,-]{{1,2}}(?:(?:dot\b|\.) ?)?(?:(?:{_DIGIT_WORD})\b|[0-9])|[0-9][ ,-]{{1,2}}(?:{_DIGIT_WORD})\b"
+)
+# Words that show that a bare "at" and "dot" around them are meant as words.
+_NO_DOMAIN = re.compile(r"(?i)@(?:the|a|an|this|that|his|her|our|my|their|its|each|every)\.|\.(?:of|the|an|and|or|for|on|from|with|that|this)$")
+_BRACKET = re.compile(r"[\[({<]")
+# Endings of domains by which a bare "at" before them is taken for a sign, if no common word stands before it.
+_ENDINGS = "com|org|net|edu|gov|info|io|de|at|ch|fr|es|it|uk|eu|nl|be|pl|by|us|ca|au|jp|br|ru"
+_BEFORE_AT = frozenset(
+    "look looks looked looking me us him her them you it he she we they i is are was were be been am and or not but so "
+    "out up only also available online site website page pages link shop store here there home found find see visit more "
+    "all that this one read live work works working stay arrive arrived hosted host published listed order ordered buy sold "
+    "start starts meet met arrives sign register registered log login shown as of on in to for from by with even just".split()
+)
+_BARE_AT_HINT = re.compile(rf" (?:at|arroba) (?:[a-z0-9-]+\.)+(?:{_ENDINGS})(?![a-z0-9-]|\.[a-z0-9])")
+_BARE_AT = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]*[A-Za-z0-9]) (?:at|arroba) ((?:[A-Za-z0-9-]+\.)+(?:{_ENDINGS}))(?![A-Za-z0-9-]|\.[A-Za-z0-9])"
+)
 # Numbers with letters that look like the digits 1 and 0; a part set off by a blank has a digit at least.
 _PART = r"[0-9OoIl]++(?![A-Za-z0-9])"
 _DIGIT_PART = rf"(?=[OoIl]*+[0-9]){_PART}"
@@ -212,7 +231,13 @@ _NUMBER_HINT = re.compile(r"[0-9][ .-]?[OoIl]|[OoIl][ .-]?[0-9]")
 
 def _address(found: re.Match) -> str | None:
     new = _SIGNS.sub(lambda m: "@" if m.group("at") else ".", found.group())
-    return new if new != found.group() and not _NO_DOMAIN.search(new) else None
+    bare = not any(_BRACKET.search(m.group()) for m in _SIGNS.finditer(found.group()))
+    return new if new != found.group() and not (bare and _NO_DOMAIN.search(new)) else None
+
+
+def _bare_at(found: re.Match) -> str | None:
+    local, domain = found.groups()
+    return None if local.lower() in _BEFORE_AT else f"{local}@{domain}"
 
 
 def _number(found: re.Match) -> str | None:
@@ -238,6 +263,10 @@ def rewritten(text: str) -> Rewritten | None:
         found = found or Rewritten(text)
         found.replace(_NUMBER_DOT, lambda m: ".")
         found.replace(_ADDRESS, _address)
+    if " at " in lower or " arroba " in lower:
+        if _BARE_AT_HINT.search(lower):
+            found = found or Rewritten(text)
+            found.replace(_BARE_AT, _bare_at)
     return found if found and found.text != text else None
 
 
@@ -279,7 +308,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts are of plain identifiers."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts are of plain identifiers.
+
+    Null and empty texts have counts of 0, no spans and the digest of the empty string; repeated rows get equal
+    results, and of an empty frame nothing is returned.
+    """
 
     def run(rows):
         for key, text in rows:
@@ -292,7 +325,11 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) of every row with each identifier, plain or disguised, replaced by its kind in brackets."""
+    """(id, masked) of every row: its text with each identifier, plain or disguised, replaced by its kind in brackets.
+
+    Null texts count as empty, empty ones stay empty, repeated rows are masked alike; of an empty frame nothing is
+    returned.
+    """
 
     def run(rows):
         for key, text in rows:

@@ -2,7 +2,8 @@
 
 Entropy is taken over a sliding window of every candidate string, for each class of characters by itself.
 The counts of the window's characters are kept up as it moves, so a step costs the same at any window size.
-An allow-list of harmless forms suppresses what looks random and is not.
+Candidates are cut at the separators of paths, labels and names; an allow-list suppresses the parts that are
+words, numbers or written as examples, and what is left between them must look random as it stands.
 """
 
 from __future__ import annotations
@@ -37,26 +38,38 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 
 class CharClass(NamedTuple):
-    """Candidate strings of a class, its window, and the bits per character from which a window is random."""
-
-    candidates: re.Pattern
-    window: int
-    bits: float
+    """Candidate strings of a class, and its windows with the bits per character from which one is random.
 
+    The longest window that a string has room for is used. ``changes`` is the least share of neighbours in a random
+    string that are of different kinds: lower case, upper case, digit.
+    """
 
-# A window of distinct hex digits has 4 bits at most; one of 24 distinct characters 4.6.
-CLASSES = (
-    CharClass(re.compile(r"[0-9A-F]{32,}|[0-9a-f]{32,}"), 32, 3.1),
-    CharClass(re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.5),
-)
-#: Harmless strings: identifiers written for people, placeholders, file paths, and numbers alone.
-ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|(?i:.*(?:example|placeholder|changeme|abcdefgh|01234567|12345678|xxxxxx).*)"
-    r"|[0-9]+|[A-Z]?[a-z]+|[A-Z]+"
-    r"|(?:[A-Za-z]+[/_=-]+)+[A-Za-z]*",
-    re.DOTALL,
-)
+    candidates: re.Pattern
+    windows: tuple[tuple[int, float], ...]
+    changes: float = 0.0
+
+    def window(self, size: int) -> tuple[int, float] | None:
+        return next((w for w in self.windows if w[0] <= size), None)
+
+
+# A window of distinct hex digits has 4 bits at most; one of 24 distinct characters 4.6, one of 16 has 4.
+HEX = CharClass(re.compile(r"[0-9A-F]{32,}|[0-9a-f]{32,}"), ((32, 3.1),))
+TOKENS = CharClass(re.compile(r"[A-Za-z0-9+/_=-]{16,}"), ((24, 3.5), (16, 3.3)), 0.22)
+SHORTEST = 16
+#: What a window of hex digits alone lacks in bits.
+FEWER_BITS = 0.45
+_HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: Harmless strings as a whole: identifiers written for people.
+ALLOWED = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: What stands between the parts of a path, a label or a name; keys may hold these characters, too.
+_PARTS = re.compile(r"[^/=_-]+")
+#: Harmless parts: numbered words and numbers with a unit.
+_NUMBERED = re.compile(r"[A-Za-z]+[0-9]{1,4}|[0-9]{1,4}[a-z]{1,8}")
+_HUMPS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Characters for each word or number in names that are written without separators; random strings have fewer.
+HUMP = 3.2
+#: A string of parts with one of these, by itself no word, was written as an example.
+PLACEHOLDERS = re.compile(r"(?i)example|placeholder|changeme|abcdefgh|01234567|12345678|xxxxxx")
 _CLOGC = [0.0, *(c * math.log2(c) for c in range(1, 65))]
 
 
@@ -84,22 +97,67 @@ def random_parts(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     return found
 
 
-def _mixed(text: str) -> bool:
-    """Whether letters and digits mix, as in keys and unlike in words and numbers."""
-    digits = sum(c.isdigit() for c in text)
-    return 1 <= digits < len(text) - 2
+def changes(text: str) -> float:
+    """The share of neighbours that are of different kinds."""
+    kinds = text.translate(_KINDS)
+    return sum(map(str.__ne__, kinds, kinds[1:])) / max(1, len(text) - 1)
+
+
+_KINDS = str.maketrans(
+    {c: "a" for c in map(chr, range(97, 123))} | {c: "A" for c in map(chr, range(65, 91))} | {c: "0" for c in "0123456789"}
+)
+
+
+def ordinary(part: str) -> bool:
+    """Whether a string of letters and digits is made of words and numbers."""
+    humps = len(_HUMPS.findall(part))
+    return humps <= 1 or len(part) >= HUMP * humps or _NUMBERED.fullmatch(part) is not None
+
+
+def unusual(candidate: str) -> list[tuple[int, int]]:
+    """Spans of a string without its words, numbers and examples.
+
+    Parts of up to two characters say nothing; between unusual parts they belong to them.
+    """
+    found: list[tuple[int, int]] = []
+    start, end, example = None, 0, False
+
+    def close() -> None:
+        if start is not None and end - start >= SHORTEST and not example:
+            found.append((start, end))
+
+    for part in _PARTS.finditer(candidate):
+        text = part.group()
+        if len(text) <= 2:
+            continue
+        # What stands beside the word of an example tells whether it is one or just a name with that word.
+        marked = [p for p in PLACEHOLDERS.split(text) if len(p) > 2] if PLACEHOLDERS.search(text) else None
+        if ordinary(text) if marked is None else all(map(ordinary, marked)):
+            close()
+            start, example = None, False
+            continue
+        start = part.start() if start is None else start
+        end, example = part.end(), example or marked is not None
+    close()
+    return found
 
 
 def _random_spans(text: str) -> list[Span]:
     found = []
-    for candidates, window, bits in CLASSES:
-        for candidate in candidates.finditer(text):
-            string = candidate.group()
-            if not _mixed(string) or ALLOWED.fullmatch(string):
-                continue
-            for a, b in random_parts(string, window, bits):
-                if _mixed(string[a:b]):
-                    found.append(Span("entropy", candidate.start() + a, candidate.start() + b))
+    for candidate in HEX.candidates.finditer(text):
+        string = candidate.group()
+        if not string.isdigit() and not string.isalpha():
+            found += [Span("entropy", candidate.start() + a, candidate.start() + b) for a, b in random_parts(string, *HEX.windows[0])]
+    for candidate in TOKENS.candidates.finditer(text):
+        string = candidate.group()
+        if string.isalpha() and (string.islower() or string[1:].islower()) or ALLOWED.fullmatch(string):
+            continue
+        for first, end in unusual(string):
+            own = string[first:end]
+            window, bits = TOKENS.window(len(own))
+            for a, b in random_parts(own, window, bits - FEWER_BITS if _HEX_ONLY.fullmatch(own) else bits):
+                if changes(own[a:b]) >= TOKENS.changes:
+                    found.append(Span("entropy", candidate.start() + first + a, candidate.start() + first + b))
     return found
 
 
@@ -121,18 +179,28 @@ def _order(span: Span) -> tuple[int, int]:
 def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
     """(spans of known forms, all spans), sorted by start and kind.
 
-    A random string that overlaps a known form or an earlier random string is left out.
+    Of a random string, what no known form and no earlier random string has counts, if it is long enough.
     """
     base = sorted(base_spans(text), key=_order)
     every, end = [], -1
-    taken = sorted((s.start, s.end) for s in base)
-    for span in sorted(_random_spans(text), key=lambda s: (s.start, -s.end)):
-        if span.start >= end and not any(a < span.end and span.start < b for a, b in taken):
-            every.append(span)
+    for span in sorted(_random_spans(_without(text, base)), key=lambda s: (s.start, -s.end)):
+        if span.end - max(span.start, end) >= SHORTEST:
+            every.append(Span(span.kind, max(span.start, end), span.end))
             end = span.end
     return base, sorted(base + every, key=_order)
 
 
+def _without(text: str, spans: list[Span]) -> str:
+    """The text with blanks in the place of sorted spans."""
+    parts, at = [], 0
+    for span in spans:
+        if span.end > at:
+            start = max(at, span.start)
+            parts += [text[at:start], " " * (span.end - start)]
+            at = span.end
+    return "".join([*parts, text[at:]]) if parts else text
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
@@ -153,7 +221,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans) of every row; the counts are of known forms."""
+    """(id, n_assign, n_access, n_hex, base_sha256, spans) of every row; the counts are of known forms.
+
+    Null and empty texts have counts of 0, no spans and the digest of the empty string; repeated rows get equal
+    results, and of an empty frame nothing is returned.
+    """
 
     def run(rows):
         for key, text in rows:
