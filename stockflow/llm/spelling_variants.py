@@ -1,8 +1,10 @@
 """Spelling variants: words of a vocabulary one edit apart, and the commoner form that each leads to.
 
-Letters are hashed to eight symbols. Every word gives the keys of its reduced spelling and of all reduced
+Letters are hashed to eight symbols. Every word gives the keys of its reduced spelling and of the reduced
 spellings one edit away; these meet the keys of the reduced vocabulary in a join, and what meets is compared in
-its original spelling. Two words one edit apart are at most one edit apart when reduced, so none is missed.
+its original spelling. Two words one edit apart are at most one edit apart when reduced, so none is missed. Of a
+neighbourhood, the half that lies in the neighbourhoods of the other words anyway is not sent: each pair is
+sought from its longer word, or from the one with the lower symbol, and counts for both.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ HELD_WORDS = 200_000
 #: Keys after which a batch is handed on.
 BATCH_KEYS = 200_000
 
+_PAIR = ("word", "word_n", "near", "near_n")
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: An odd number, so that powers of it can be divided by; keys are sums of symbols times powers of it.
@@ -93,17 +96,34 @@ def reduced_key(word: str) -> int:
 
 
 def neighbourhood(word: str) -> np.ndarray:
-    """The distinct keys of a word's reduced spelling and of all reduced spellings one edit away."""
+    """The distinct keys of a word's reduced spelling and of its full neighbourhood, all spellings one edit away."""
+    deleted, replaced, inserted = _edits(word)
+    return np.unique(np.concatenate(([np.uint64(reduced_key(word))], deleted, replaced.ravel(), inserted.ravel())))
+
+
+def _edits(word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys after deleting each symbol, and after putting each symbol in place of, or before, each symbol.
+
+    A key is a sum, so each edit changes it by a difference.
+    """
     symbols = reduced(word)
-    size, powers = len(symbols), _powers(len(symbols) + 1)
+    powers = _powers(len(symbols) + 1)
     parts = symbols * powers[:-1]
     before = np.concatenate(([np.uint64(0)], np.cumsum(parts, dtype=np.uint64)))
     whole, after = before[-1], before[-1] - before
     every = np.arange(1, SYMBOLS + 1, dtype=np.uint64)[:, None]
     deleted = before[:-1] + after[1:] * _UNBASE
-    replaced = whole - parts + every * powers[:-1]
-    inserted = before + every * powers + after * np.uint64(_BASE)
-    return np.unique(np.concatenate((deleted, replaced.ravel(), inserted.ravel())))
+    return deleted, whole - parts + every * powers[:-1], before + every * powers + after * np.uint64(_BASE)
+
+
+def sought(word: str) -> np.ndarray:
+    """The keys of the neighbourhood from which a word seeks the others: its own, those of deletions, and of higher symbols.
+
+    The other edits of a word are such edits of the word that they lead to.
+    """
+    deleted, replaced, _ = _edits(word)
+    higher = np.arange(1, SYMBOLS + 1)[:, None] > reduced(word)
+    return np.unique(np.concatenate(([np.uint64(reduced_key(word))], deleted, replaced[higher])))
 
 
 def _own_key(word: str) -> np.ndarray:
@@ -111,38 +131,45 @@ def _own_key(word: str) -> np.ndarray:
 
 
 def _keyed(words: DataFrame, keys_of: Callable[[str], np.ndarray]) -> DataFrame:
-    """A row for each key of each row's ``word``: the key and all columns but the word, of which the first stands for it."""
+    """A row for each key of each row's ``word``: all columns but the word, the key, and whether it is the word's own."""
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
     carried = words.columns[1:]
-    schema = pa.schema([*to_arrow_schema(words.select(*carried).schema), ("key", pa.int64())])
+    schema = pa.schema([*to_arrow_schema(words.select(*carried).schema), ("key", pa.int64()), ("same", pa.bool_())])
 
-    def rows(columns: list[pa.Array], found: list[np.ndarray], first: int) -> Iterator[pa.RecordBatch]:
-        place = np.repeat(np.arange(first, first + len(found)), [len(k) for k in found])
-        keys = np.concatenate(found).view(np.int64)
+    def rows(columns: list[pa.Array], found: list[np.ndarray], own: list[int], first: int) -> Iterator[pa.RecordBatch]:
+        sizes = [len(k) for k in found]
+        place, keys = np.repeat(np.arange(first, first + len(found)), sizes), np.concatenate(found)
+        same = keys == np.repeat(np.array(own, np.uint64), sizes)
         for at in range(0, len(keys), BATCH_KEYS):
-            part = pa.array(place[at : at + BATCH_KEYS])
-            yield pa.record_batch([*(c.take(part) for c in columns), pa.array(keys[at : at + BATCH_KEYS])], schema)
+            part = slice(at, at + BATCH_KEYS)
+            taken = [c.take(pa.array(place[part])) for c in columns]
+            yield pa.record_batch([*taken, pa.array(keys[part].view(np.int64)), pa.array(same[part])], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, held = [], 0
+            found, own, held = [], [], 0
             for at, word in enumerate(batch.column(0).to_pylist(), 1):
                 found.append(keys_of(word))
+                own.append(reduced_key(word))
                 held += len(found[-1])
                 if held >= BATCH_KEYS or at == len(batch):
-                    yield from rows(batch.columns[1:], found, at - len(found))
-                    found, held = [], 0
+                    yield from rows(batch.columns[1:], found, own, at - len(found))
+                    found, own, held = [], [], 0
 
     return words.mapInArrow(run, from_arrow_schema(schema))
 
 
 def _met(words: DataFrame, condition: Column) -> DataFrame:
-    """Rows (word, word_id, word_n) whose neighbourhood has the key of a row (near_id, near_n), if the condition holds."""
+    """Rows (word_id, word_n) and (near_id, near_n), once for each pair of words one of which is sought by the other.
+
+    Of words with the same key, which seek each other, the first has the second. The condition is part of the join.
+    """
     spread = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    wide = _keyed(spread, neighbourhood)
-    own = _keyed(spread.withColumnsRenamed({"word_id": "near_id", "word_n": "near_n"}), _own_key)
-    return wide.hint("merge").join(own, (wide["key"] == own["key"]) & condition).drop("key")
+    wide = _keyed(spread, sought)
+    own = _keyed(spread.withColumnsRenamed({"word_id": "near_id", "word_n": "near_n"}), _own_key).drop("same")
+    once = ~F.col("same") | (F.col("word_id") < F.col("near_id"))
+    return wide.hint("merge").join(own, (wide["key"] == own["key"]) & once & condition).drop("key", "same")
 
 
 def _one_edit(word: str, near: str) -> Column:
@@ -153,8 +180,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(word, word_n, near, near_n) of all ordered pairs of distinct words (word, n) exactly one edit apart.
 
     The join compares the original spellings as keys meet, so pairs that only look alike when reduced are never
-    rows. No key is in both lists twice, so a pair comes once. A word has about 17 keys for each of its letters;
-    words above ``LONG`` letters travel as digests with them, and only what meets is given its spelling back.
+    rows. No key is in a word's list twice, so a pair comes once, and is then written for both words. A word sends
+    four or five keys for each of its letters; words above ``LONG`` letters travel as digests with them, and only
+    what meets is given its spelling back.
     """
     size = F.length("word")
     short = words.where(size <= LONG).select("word", F.col("word").alias("word_id"), F.col("n").alias("word_n"))
@@ -164,8 +192,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     meet = _met(named, F.col("word_id") != F.col("near_id")).drop("word_n", "near_n")
     found = meet.join(named, "word_id").join(named.toDF("near", "near_id", "near_n"), "near_id")
     found = found.where((F.greatest(F.length("word"), F.length("near")) > LONG) & _one_edit("word", "near"))
-    columns = ["word", "word_n", "near", "near_n"]
-    return short.select(*columns).unionByName(found.select(*columns))
+    pairs = short.select(*_PAIR).unionByName(found.select(*_PAIR))
+    turned = F.struct(*[F.col(c).alias(name) for c, name in zip((*_PAIR[2:], *_PAIR[:2]), _PAIR, strict=True)])
+    return pairs.select(F.inline(F.array(F.struct(*_PAIR), turned)))
 
 
 def with_forms(words: DataFrame) -> DataFrame:

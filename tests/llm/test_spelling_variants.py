@@ -95,7 +95,11 @@ def test_keys_of_edits_are_in_the_neighbourhood():
         at, letter = rng.randrange(len(word)), rng.choice("aeÿz")
         keys = {int(k) for k in sv.neighbourhood(word)}
         for other in (word, word[:at] + word[at + 1 :], word[:at] + letter + word[at:], word[:at] + letter + word[at + 1 :], word + letter):
-            assert sv.reduced_key(other) in keys
+            key = sv.reduced_key(other)
+            assert key in keys
+            # One of the two seeks the other, and both only where they have the same key.
+            seeking = [key in sv.sought(word), sv.reduced_key(word) in sv.sought(other)]
+            assert sum(seeking) == (2 if key == sv.reduced_key(word) else 1)
 
 
 def test_only_verified_pairs_leave_the_join(spark):
