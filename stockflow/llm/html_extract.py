@@ -57,11 +57,11 @@ _TEXT = "#text"
 
 
 class Node:
-    __slots__ = ("chars", "label", "link_chars", "names", "parent", "tag", "text")
+    __slots__ = ("chars", "controls", "label", "link_chars", "names", "parent", "tag", "text")
 
     def __init__(self, tag: str, parent: int, names: str = "", label: str | None = None, text: str = "") -> None:
         self.tag, self.parent, self.names, self.label, self.text = tag, parent, names, label, text
-        self.chars = self.link_chars = 0
+        self.chars = self.link_chars = self.controls = 0
 
 
 class _Tree:
@@ -182,13 +182,14 @@ class _Tree:
 
 
 def parse(html: str) -> list[Node]:
-    """The nodes of a page, with the characters of text below each; any text is some page."""
+    """The nodes of a page, with the characters of text and the buttons below each; any text is some page."""
     tree = _Tree()
     tree.feed(html)
     for node in reversed(tree.nodes[1:]):
         above = tree.nodes[node.parent]
         above.chars += node.chars
         above.link_chars += node.link_chars
+        above.controls += node.controls + (node.tag == "button")
     return tree.nodes
 
 
@@ -201,13 +202,15 @@ _NAMES = {
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe paywall dialog toast",
     "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner dfp outbrain taboola",
     "form": "form search login signin signup register contact",
-    "comment": "comment comments reply replies respond disqus discussion thread reader",
+    "comment": "comment comments reply replies respond response responses feedback disqus discussion thread reader",
     "share": "share sharing social tags tag meta byline author print toolbar",
     "main": "article articlebody content post entry story main body text maincontent page document prose",
 }
 _NAME_OF = {word: group for group, words in _NAMES.items() for word in words.split()}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = re.compile(r"[.!?…:;»\"”)\]]$")
+#: What a notice speaks of.
+_NOTICE = re.compile(r"(?i)\b(?:cookies?|consent|gdpr|newsletter)\b")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -227,8 +230,12 @@ def features(node: Node, above: Node | None) -> list[str]:
         found += [f"text {_steps(node.chars, 20, 80, 250)}", "ends" if _END.search(node.text) else "open"]
         if "©" in node.text:
             found.append("copyright")
+        if node.chars < 400 and _NOTICE.search(node.text):
+            found.append("notice")
         return found
     found += [f"tag {_kind(node.tag)}", f"size {_steps(node.chars, 1, 100, 600)}"]
+    if node.controls:
+        found.append(f"controls, size {_steps(node.chars, 100, 600)}")
     if above is not None:
         found.append(f"tag {_kind(node.tag)} in {_kind(above.tag)}")
     if node.names:
@@ -300,7 +307,7 @@ def labels(nodes: list[Node]) -> list[int]:
     return found
 
 
-def train(pages: Iterable[str], rounds: int = 60, rate: float = 0.25, decay: float = 0.002) -> Weights:
+def train(pages: Iterable[str], rounds: int = 100, rate: float = 0.25, decay: float = 0.002) -> Weights:
     """Weights fitted to labelled pages by gradient ascent with a step for each weight of its own.
 
     A page's labels are in ``data-label`` attributes (``content`` or anything else), valid for what is below.

@@ -1,15 +1,16 @@
 """Labelled pages to train the extraction of main text on, laid out by rule from a stated seed.
 
 Each page sets an article among menus, headers, footers, sidebars, notices, adverts, forms and comments, marked
-up in one of several common ways: by element, by class or id, or by both. Texts of either label are of any
-length and punctuation, so that they do not give the label away.
+up in one of several common ways: by element, by class or id, by both, or by no name at all. Texts of either
+label are of any length and punctuation, so that they do not give the label away. Some pages have next to nothing
+but a short article and what readers wrote below it.
 """
 
 from __future__ import annotations
 
 import random
 
-PAGES = 90
+PAGES = 160
 SEED = 7
 
 _SYLLABLES = "an be ci do el fa go hi in ka lo mer nu or per qui ra sol tem un ver".split()
@@ -98,6 +99,11 @@ class _Writer:
                 ('<section class="story" {}>', "</section>"),
                 ('<div role="main" {}>', "</div>"),
                 ('<div id="main" {}><div class="post"><div class="post-body">', "</div></div></div>"),
+                ("<div {}>", "</div>"),
+                ("<div {}><div>", "</div></div>"),
+                ('<div class="container"><div class="col" {}>', "</div></div>"),
+                ('<div class="row"><div {}>', "</div></div>"),
+                ("<table><tr><td {}>", "</td></tr></table>"),
             ]
         )
         return opened.format('data-label="content"') + body + closed
@@ -112,9 +118,12 @@ class _Writer:
             f'<{t} class="{c}"><{self.pick("p", "div")}>{self.text(2, 40)}</{t}>'
             for t, c in [(self.pick("div", "li", "article"), self.pick("comment", "comment-body", "reply")) for _ in range(self.random.randint(1, 4))]
         )
+        if self.random.random() < 0.3:
+            posts = "".join(f"<p>{self.text(1, 30)}</p>" for _ in range(self.random.randint(1, 3)))
         tag = self.pick("section", "div", "aside", "ol")
         title = self.some(0.6, f"<h3>{self.text(1, 4)}</h3>")
-        return f'<{tag} {self.pick("class", "id")}="{self.pick("comments", "comment-list", "reader-comments", "disqus_thread", "discussion")}" data-label="other">{title}{posts}</{tag}>'
+        name = self.pick("comments", "comment-list", "reader-comments", "disqus_thread", "discussion", "responses", "replies", "feedback")
+        return f'<{tag} {self.pick("class", "id")}="{name}" data-label="other">{title}{posts}</{tag}>'
 
     def above(self) -> str:
         parts = [
@@ -136,7 +145,14 @@ class _Writer:
         return "".join(parts)
 
     def notice(self) -> str:
-        inner = self.pick(f"<p>{self.text(5, 40)}</p>", self.text(5, 40)) + self.some(0.5, f"<button>{self.text(1, 2)}</button>")
+        text = self.text(5, 40)
+        if self.random.random() < 0.4:
+            words = text.split(" ")
+            words.insert(self.random.randint(1, len(words)), self.pick("cookies", "cookie", "consent", "newsletter"))
+            text = " ".join(words)
+        inner = self.pick(f"<p>{text}</p>", text) + self.some(0.6, f"<button>{self.text(1, 2)}</button>")
+        if "<button>" in inner and self.random.random() < 0.4:
+            return self.pick(f"<div>{inner}</div>", f"<section>{inner}</section>", f"<div><div>{inner}</div></div>")
         return self.pick(
             f'<div class="{self.pick("cookie-banner", "notice", "consent", "gdpr", "alert", "newsletter")}">{inner}</div>',
             f'<section id="{self.pick("cookie-notice", "popup", "subscribe")}">{inner}</section>',
@@ -163,7 +179,28 @@ class _Writer:
         self.random.shuffle(parts)
         return "".join(parts) + footer
 
+    def lean(self) -> str:
+        """A page of one or two short paragraphs, with little or nothing around them."""
+        blocks = self.some(0.4, f"<h1>{self.text(1, 6)}</h1>")
+        blocks += "".join(f"<p>{self.text(1, 14)}</p>" for _ in range(self.random.randint(1, 2)))
+        inside, after = self.some(0.6, self.comments()), self.some(0.3, self.comments())
+        opened, closed = self.random.choice(
+            [
+                ("<article {}>", "</article>"),
+                ("<article {}>", "</article>"),
+                ("<main {}>", "</main>"),
+                ('<div class="post" {}>', "</div>"),
+                ("<div {}>", "</div>"),
+                ("<div {}><div>", "</div></div>"),
+            ]
+        )
+        before = self.some(0.3, f"<nav>{self.listed(self.links(2, 5))}</nav>") + self.some(0.3, self.notice())
+        end = self.some(0.3, f"<footer>{self.text(1, 8)}</footer>")
+        return before + opened.format('data-label="content"') + blocks + inside + closed + after + end
+
     def page(self) -> str:
+        if self.random.random() < 0.25:
+            return f'<html><body data-label="other">{self.lean()}</body></html>'
         opened, closed = self.random.choice([("", ""), ("", ""), ("<div id='page'>", "</div>"), ("<div class='wrapper'><div class='row'>", "</div></div>")])
         end = self.pick("</body></html>", "</body></html>", "")
         article = self.bare() if self.random.random() < 0.15 else self.article()

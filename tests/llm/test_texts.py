@@ -301,10 +301,9 @@ def test_given_pages_give_their_article(spark):
         ("<html><body><h1>T &amp; U</h1><p>Some   plain\n page&#33;</p><p>More.</p></body></html>", "T & U\nSome plain page!\nMore."),
         ("<article><h1>A</h1><p>One <b>two<br>three</p><script>x()</script><!-- c --><p>Four.</article><footer>(c)</footer>",
          "A\nOne two three\nFour."),
-        pytest.param(
-            "<article><p>Text of it.</p><section class=comments><p>Nice post!</p></section></article>", "Text of it.",
-            marks=pytest.mark.xfail(reason="known miss: a page of one very short paragraph and comments is read as empty"),
-        ),
+        ("<article><p>Text of it.</p><section class=comments><p>Nice post!</p></section></article>", "Text of it."),
+        ("<article><p>Short.</p><section class=responses><p>Nice post!</p></section></article>", "Short."),
+        ("<main><p>One line of text</p></main><footer>Imprint</footer>", "One line of text"),
         ("<html><body><article><h1>A title</h1><p>Text of it, in a first paragraph.</p><p>And in a second one.</p>"
          "<section class=comments><p>Nice post!</p></section></article></body></html>",
          "A title\nText of it, in a first paragraph.\nAnd in a second one."),
@@ -315,6 +314,26 @@ def test_small_pages(weights, html, text):
     assert html_extract.main_text(html, weights) == text
 
 
+#: Layouts and wording that the labelled pages do not have.
+_FIRST, _SECOND = "This is the first paragraph of the page, and it has some words.", "A second paragraph follows it here; nobody knows why."
+_LAYOUTS = [
+    "<article>{}<div class=responses><h3>Responses</h3><p>Great one, thanks.</p><p>I do not agree with it at all.</p></div></article>",
+    "<body><div><p>We use cookies to improve this site.</p><button>Accept</button></div><article>{}</article></body>",
+    "<body><div>This site uses cookies. <button>OK</button></div><main>{}</main></body>",
+    "<body><div>{}<div><h2>Comments</h2><div class=comment><p>First!</p></div><div class=comment><p>I liked this one a lot.</p></div></div></div></body>",
+    "<body><header><a href=/>Site</a></header><div class=container><div class=col>{}</div><div class=col><h4>Links</h4><ul><li><a href=x>x one</a>"
+    "<li><a href=y>y two</a></ul></div></div><footer>All of it is ours</footer></body>",
+    "{}",
+    "<div><div><div>{}</div></div></div>",
+]
+
+
+@pytest.mark.parametrize("layout", _LAYOUTS)
+def test_layouts_the_trainer_has_not(weights, layout):
+    html = layout.format(f"<h1>Title of it</h1><p>{_FIRST}</p><p>{_SECOND}</p>")
+    assert html_extract.main_text(html, weights) == f"Title of it\n{_FIRST}\n{_SECOND}"
+
+
 @pytest.mark.parametrize("part", ["<", "<!", "<!--", '<a b="', "&", "<a ", "</", "<script>", "<div>", "<p>", "<li>", "<b>", "<?"])
 def test_hostile_pages_end(weights, part):
     html_extract.main_text(part * 20_000, weights)
