@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions.dates import day
 from .operators.enrich import enrich_daily
 
-ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_tax"]
+#: The load order of snapshots is one number, see ``load_rank``.
+ORDER = ["load_rank"]
+LINES = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_tax"]
 
 # Parts that share an item code, and suppliers that share a site besides the three main warehouses.
 PARTS_PER_ITEM = 20
@@ -17,6 +19,12 @@ SUPPLIERS_PER_SITE = 50
 ORDERS_PER_BOOK = 100_000
 
 
+def load_rank() -> Column:
+    """Order, line, part within its group and supplier as one number, which tells the lines of an item and day apart."""
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 32 + F.col("l_partkey") % PARTS_PER_ITEM
+    return line * 32_768 + F.col("l_suppkey") % 32_768
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +58,8 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("p_name"))
         .alias("item_name"),
         F.col("p_brand").alias("manufacturer"),
-        *ORDER,
+        *LINES,
+        load_rank().alias("load_rank"),
     )
 
 

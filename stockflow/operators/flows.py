@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.dates import with_year_month
 from ..functions.numbers import sold_restocked
 from ..schema import ITEM_KEYS
-from .halo import drop_halo, segment_window, step, with_halo
+from .halo import SLICE, drop_halo, frequent, segment_window, step, with_halo, with_slices
 
-MONTH = ["year", "month"]
+_SPOT = "_spot"
 #: Whether a moving row has a partner of the opposite sign, that is, takes part in a transfer.
 MARK = "is_transfer"
 
 
-def with_flows(daily: DataFrame) -> DataFrame:
+def with_flows(daily: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     """Add the stock difference to the previous row of the series, split into sold and restocked.
 
-    Rows end up placed by item and month, which the netting and the monthly summary reuse.
+    Rows end up placed by item, which the netting, the monthly summary and the totals reuse. The rows of an item
+    that holds too many for one task are placed by warehouse and slice of time instead, each slice with the row
+    before it; what follows then shuffles them by its own keys. Items are counted once, in ``measured``, a frame
+    that is cheaper to read and has an item's rows in about the same proportion, or else in the daily rows.
     """
-    rows = with_halo(
-        with_year_month(daily), ITEM_KEYS, MONTH, ["dt"], lookback=1, place=["item_code", *MONTH]
-    )
-    diff = F.coalesce(step("stock", segment_window(ITEM_KEYS, MONTH, ["dt"])), F.lit(0.0))
+    measured = daily if measured is None else measured
+    hot = frequent(measured, "item_code")
+    rows = with_year_month(daily)
+    if hot:
+        spot = F.when(F.col(SLICE).isNotNull(), F.col("warehouse"))
+        rows = with_slices(rows, "item_code", "dt", hot, measured).withColumn(_SPOT, spot)
+        segment = [SLICE, _SPOT]
+        rows = with_halo(rows, ITEM_KEYS, segment, ["dt"], place=["item_code", *segment], several=F.col(SLICE).isNotNull())
+        moved = drop_halo(rows.withColumn("stock_diff", _change(segment_window(ITEM_KEYS, segment, ["dt"])))).drop(*segment)
+    else:
+        moved = rows.repartition("item_code").withColumn("stock_diff", _change(segment_window(ITEM_KEYS, [], ["dt"])))
     sold, restocked = sold_restocked("stock_diff")
-    return drop_halo(rows.withColumn("stock_diff", diff)).withColumns(
-        {"sold": sold, "restocked": restocked}
-    )
+    return moved.withColumns({"sold": sold, "restocked": restocked})
+
+
+def _change(series: WindowSpec) -> Column:
+    return F.coalesce(step("stock", series), F.lit(0.0))
 
 
 def inflows(flows: DataFrame) -> DataFrame:
@@ -50,9 +62,7 @@ def marked_transfers(flows: DataFrame) -> DataFrame:
     spread by warehouse and form no large group.
     """
     diff = F.col("stock_diff")
-    group = Window.partitionBy(
-        "item_code", *MONTH, "dt", F.abs(diff), F.when(diff == 0, F.col("warehouse"))
-    )
+    group = Window.partitionBy("item_code", "dt", F.abs(diff), F.when(diff == 0, F.col("warehouse")))
     both = F.max(diff > 0).over(group) & F.max(diff < 0).over(group)
     return flows.withColumn(MARK, F.coalesce(both, F.lit(False)))
 

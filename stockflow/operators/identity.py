@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import DEFECT_MARKERS, name_changed, norm_code, norm_name
+from .skew import salted_join
 from .tables import require
 
 NAME_KEYS = ("warehouse", "item_key")
@@ -59,8 +60,8 @@ def name_table(df: DataFrame, key: Sequence[str] = NAME_KEYS, rows: str | None =
 
 
 def canonical_names(df: DataFrame, key: Sequence[str] = NAME_KEYS) -> DataFrame:
-    """Add the canonical name and whether the row's name differs."""
-    return df.join(name_table(df, key), list(key), "left").withColumn(
+    """Add the canonical name and whether the row's name differs. The rows of a frequent key are salted."""
+    return salted_join(df, name_table(df, key), key).withColumn(
         "name_changed", name_changed("item_name", "canonical_name")
     )
 

@@ -95,12 +95,12 @@ def _series(df: DataFrame, window: WindowSpec, rows: int, factor: float) -> Data
 def drill_down(top: DataFrame, daily: DataFrame) -> DataFrame:
     """Daily rows, in any warehouse, of the items in a top table.
 
-    The top table ends in a limit, so Spark knows its size and broadcasts it by itself.
+    The top table ends in a limit, so Spark knows its size and broadcasts it by itself. The rows meet it by item
+    key alone, and the name is compared on meeting, so that a table stored by item key need not be shuffled for it.
     """
-    picks = top.select(
-        F.col("item_code").alias("item_key"), F.col("item_name").alias("canonical_name")
-    )
-    return daily.join(picks, ["item_key", "canonical_name"], "left_semi")
+    picks = top.groupBy(F.col("item_code").alias("_item")).agg(F.collect_set("item_name").alias("_names"))
+    same = (F.col("item_key") == F.col("_item")) & F.array_contains("_names", F.col("canonical_name"))
+    return daily.join(picks, same, "left_semi")
 
 
 def spike_series(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-ORDER = "l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_tax"
+ORDER = "load_rank"
 LINE = "l_orderkey, l_linenumber, l_extendedprice"
 SERIES = "partition by item_code, warehouse order by dt"
 
@@ -36,7 +36,8 @@ PARTS = {
                else round(100 * (1 - l_discount), 2) end as price,
           case when l_linenumber = 7 then '  ' || upper(p_name) || ' дефект' else p_name end as item_name,
           p_brand as manufacturer,
-          l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_tax
+          l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_tax,
+          ((l_orderkey * 8 + l_linenumber) * 32 + l_partkey % 20) * 32768 + l_suppkey % 32768 as load_rank
         from lineitem join part on l_partkey = p_partkey""",
     "daily": f"""
         select item_code, warehouse, dt, {_first('stock', ORDER)}, {_first('price', ORDER)},
@@ -436,7 +437,7 @@ _QUERIES = {
     "name_variants": "select distinct warehouse, item_code, item_name from snap where item_name is not null",
     "variants_text": """
         select warehouse, item_code, string_agg(distinct item_name, ', ' order by item_name) as name_variants
-        from snap where item_code = 'it-000007' group by warehouse, item_code""",
+        from snap where item_name is not null group by warehouse, item_code""",
     "find_spikes": "select * from spikes",
     "tail_by_date": """
         select item_code, warehouse, month_start, total_sold, is_spike from spikes
@@ -474,6 +475,15 @@ _QUERIES = {
         where (item_key, canonical_name) in (
           select (item_code, item_name) from (
             select * from sellers order by sold desc, item_code, item_name, warehouse limit 100))""",
+    "stored_item_line": """
+        select dt, warehouse, item_key, canonical_name, stock, sold, restocked, price, price_changed,
+          is_anomaly from enriched
+        where item_key = 'it-000007|small ring'""",
+    "stored_drill_down": """
+        select warehouse, item_key, canonical_name, dt, stock, sold from enriched
+        where (item_key, canonical_name) in (
+          select (item_code, item_name) from (
+            select * from sellers order by sold desc, item_code, item_name, warehouse limit 100))""",
     "options_warehouse": "select distinct warehouse from enriched",
     "options_item": "select distinct item_key from enriched",
     "options_name": "select distinct canonical_name from enriched",
@@ -482,6 +492,7 @@ _QUERIES = {
         select {LINE}, dt, item_code, warehouse, stock, price, null::varchar as item_name from snap
         union all by name select p_brand as item_code, p_name as item_name from part""",
     "snapshots_from_grid": "select * from book_snaps",
+    "load_snapshots": "select * from book_snaps",
     "resolve_as_of": f"""
         select event_id, date_text, coalesce({AS_OF}, file_ts) as as_of,
           case when {AS_OF} is null then 'file' else 'cell' end as date_source from dated_text""",
@@ -496,6 +507,7 @@ _QUERIES = {
     "roundtrip_parquet": "select * from monthly",
     "roundtrip_csv": "select * from rollup",
     "month_analysis": _TABLE_COUNTS,
+    "month_update": f"select * replace ({CLEAN_CODE} as item_code) from monthly",
     "month_analysis_totals": f"select {CLEAN_TOTALS} from totals",
     "month_analysis_monthly": f"select * replace ({CLEAN_CODE} as item_code) from monthly",
     "month_analysis_transfers": f"select * replace ({CLEAN_CODE} as item_code) from transfers",

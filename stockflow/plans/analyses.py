@@ -15,7 +15,7 @@ from ..operators.spikes import find_spikes
 from ..operators.tables import clean_snapshots
 from ..schema import LOAD_ORDER
 from ..sources.tables import stage, write_csv, write_table
-from ..sources.workbooks import load_snapshots
+from ..sources.workbooks import load_snapshots, with_load_rank
 
 
 def run_month_analysis(
@@ -39,7 +39,7 @@ def run_month_analysis(
 
     cleaned = clean_snapshots(snapshots)
     daily = daily_snapshot(cleaned, order, with_sum=True)
-    marked = keep(marked_transfers(with_flows(daily)), "net_flows")
+    marked = keep(marked_transfers(with_flows(daily, measured=cleaned)), "net_flows")
     net = net_of_transfers(marked)
     monthly = keep(monthly_summary(net), "monthly")
     totals = keep(item_totals(monthly), "totals")
@@ -59,8 +59,8 @@ def run_from_folders(
     spark: SparkSession, folders: Mapping[str, str], folder: str | None = None
 ) -> dict[str, DataFrame]:
     """The month analysis of workbook folders, one per warehouse, each workbook decoded once."""
-    snapshots = stage(load_snapshots(spark, folders), "snapshots", folder)
-    return run_month_analysis(snapshots, staged=True, folder=folder)
+    snapshots = with_load_rank(stage(load_snapshots(spark, folders), "snapshots", folder))
+    return run_month_analysis(snapshots, ["load_rank"], staged=True, folder=folder)
 
 
 def write_month_analysis(tables: Mapping[str, DataFrame], path: str) -> None:

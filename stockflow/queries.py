@@ -21,6 +21,7 @@ from .operators import (
     tables,
 )
 from .plans.analyses import run_month_analysis, run_spike_analysis
+from .plans.months import monthly_fact, update_months
 from .schema import DAY_KEYS, HEADINGS, ITEM_KEYS, MONTH_KEYS, MONTHLY, MONTHLY_DEFAULTS
 from .session import fresh_path
 from .sources import tables as st, workbooks as wb
@@ -49,7 +50,8 @@ def _daily(spark, d):
 
 
 def _flows(spark, d):
-    return fl.with_flows(_daily(spark, d))
+    snap = fx.snap(spark, d)
+    return fl.with_flows(da.daily_snapshot(snap, fx.ORDER), measured=snap)
 
 
 def _net(spark, d):
@@ -466,9 +468,8 @@ def name_variants(spark, d):
 
 @query
 def variants_text(spark, d):
-    """The names of one item in all its warehouses."""
-    chosen = filters.select_items(identity.name_variants(fx.snap(spark, d), CODE_KEYS), item=ITEM)
-    return identity.variants_text(chosen, CODE_KEYS)
+    """The names of every item and warehouse."""
+    return identity.variants_text(identity.name_variants(fx.snap(spark, d), CODE_KEYS), CODE_KEYS)
 
 
 # Spikes by month.
@@ -571,6 +572,25 @@ def drill_down(spark, d):
     )
 
 
+def _stored(spark, d):
+    """The enriched table as it is kept for look-ups."""
+    path = fresh_path(spark, "enriched_by_item")
+    return st.store_by_key(fx.enriched(spark, d), path.rsplit("/", 1)[1].replace("-", "_"), path, buckets=16)
+
+
+@query
+def stored_item_line(spark, d):
+    return series.item_line(_stored(spark, d), item=f"{ITEM}|{NAME}")
+
+
+@query
+def stored_drill_down(spark, d):
+    daily = _stored(spark, d)
+    return series.drill_down(ranking.top_sellers(daily), daily).select(
+        "warehouse", "item_key", "canonical_name", "dt", "stock", "sold"
+    )
+
+
 @query
 def options_warehouse(spark, d):
     return filters.options(fx.enriched(spark, d), "warehouse")
@@ -612,6 +632,17 @@ def snapshots_from_grid(spark, d):
     return wb.snapshots_from_grid(fx.grid(spark, d))
 
 
+@query
+def load_snapshots(spark, d):
+    """The stored grids of all warehouses, a folder for each, and of one that has none."""
+    path = fresh_path(spark, "grids")
+    grid = fx.grid(spark, d)
+    grid.write.partitionBy("warehouse").parquet(path)
+    names = [r.warehouse for r in grid.select("warehouse").distinct().collect()]
+    folders = {name: f"{path}/warehouse={name}" for name in [*names, "WH-none"]}
+    return wb.load_snapshots(spark, folders, wb.scan_grids)
+
+
 @query
 def resolve_as_of(spark, d):
     return fx.dated_text(spark, d).select(
@@ -672,6 +703,16 @@ def month_analysis(spark, d):
     return tables.union_all(counts)
 
 
+@query
+def month_update(spark, d):
+    """The monthly fact, of which the first half of the months was loaded before the second."""
+    path, snap = fresh_path(spark, "months"), fx.snap(spark, d)
+    later = F.col("dt") >= F.lit("1997-01-01").cast("timestamp_ntz")
+    for part in (snap.where(~later), snap.where(later)):
+        update_months(part, path, fx.ORDER)
+    return monthly_fact(spark, path)
+
+
 @query
 def month_analysis_totals(spark, d):
     """Item totals of the month analysis, which cleans the codes first."""

@@ -115,9 +115,35 @@ def write_table(
     writer.save(path)
 
 
+#: Tells spreadsheets that a file is UTF-8; Spark's readers skip it.
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ("dt", "warehouse", "item_code")) -> None:
-    """Write an ordered CSV with a heading, in UTF-8. Spark has no option for a byte order mark."""
-    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+    """Write an ordered CSV in UTF-8. Each file starts with its heading, and the heading with a byte order mark."""
+    marked = df.orderBy(*order).withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0])
+    marked.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str] = ("year", "month")) -> None:
+    """Replace the partitions that the frame has rows for, and leave the others as they are."""
+    writer = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def store_by_key(
+    df: DataFrame, name: str, path: str, buckets: int, key: str = "item_key", order: Sequence[str] = ("warehouse", "dt")
+) -> DataFrame:
+    """A stored table for look-ups: bucketed by a key and sorted by it within each file.
+
+    A look-up of a key reads one bucket, and of that only the row groups that may hold the key; a join or an
+    aggregate by the key does not shuffle the table. ``name`` is its name in the catalogue, by which it is found
+    again. The rows are brought to their buckets first, so that a bucket is one file.
+    """
+    placed = df.repartition(buckets, key).sortWithinPartitions(key, *order)
+    writer = placed.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *order)
+    writer.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

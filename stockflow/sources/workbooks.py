@@ -188,6 +188,12 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_pydict(pending, schema).to_batches(_BATCH)
 
 
+#: Bits of a load rank for the row within its sheet, which has at most 2 ** 20, counted from 1.
+ROW_BITS = 21
+#: Ranges of file names that are numbered independently of each other.
+FILE_RANGES = 256
+
+
 def decode_workbooks(files: DataFrame) -> DataFrame:
     """Cell grid of files as the ``binaryFile`` source gives them, the date cell on every row."""
     return files.select(
@@ -266,18 +272,43 @@ def ingest_audit(grid: DataFrame) -> DataFrame:
     )
 
 
-def load_snapshots(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:
-    """Snapshot rows of several warehouses; a missing folder is skipped, all missing is an error."""
-    grids = [_scan_or_none(spark, path, warehouse) for warehouse, path in folders.items()]
+def scan_grids(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
+    """Cell grid that was stored as Parquet, tagged with its warehouse."""
+    return spark.read.parquet(path).withColumn("warehouse", F.lit(warehouse))
+
+
+def load_snapshots(
+    spark: SparkSession,
+    folders: Mapping[str, str],
+    scan: Callable[[SparkSession, str, str], DataFrame] = scan_workbooks,
+) -> DataFrame:
+    """Snapshot rows of several warehouses; a missing folder is skipped, all missing is an error.
+
+    ``scan`` reads a folder: of workbooks, or with ``scan_grids`` of grids decoded before.
+    """
+    grids = [_scan_or_none(spark, path, warehouse, scan) for warehouse, path in folders.items()]
     grid = union_all(grids)
     if grid is None:
         raise ValueError("no warehouse folder could be read")
     return snapshots_from_grid(grid)
 
 
-def _scan_or_none(spark: SparkSession, path: str, warehouse: str) -> DataFrame | None:
+def with_load_rank(snapshots: DataFrame) -> DataFrame:
+    """Add the load order, by file and row, as one number; first values by it need no sort.
+
+    Files are numbered by name, in ranges, so that no task sees them all. The number has ``ROW_BITS`` bits for the
+    row, 33 for the file within its range, and the rest for the range.
+    """
+    names = snapshots.select("src_file").distinct()
+    names = names.repartitionByRange(FILE_RANGES, "src_file").sortWithinPartitions("src_file")
+    ordinals = names.withColumn("_file", F.monotonically_increasing_id())
+    rank = F.shiftleft("_file", ROW_BITS).bitwiseOR(F.col("src_row").cast("bigint"))
+    return snapshots.join(ordinals, "src_file", "left").withColumn("load_rank", rank).drop("_file")
+
+
+def _scan_or_none(spark, path, warehouse, scan) -> DataFrame | None:
     try:
-        return scan_workbooks(spark, path, warehouse)
+        return scan(spark, path, warehouse)
     except AnalysisException as error:
         if is_missing(error):
             return None

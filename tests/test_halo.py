@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from conftest import SMALL_SF_DIR, rows
 from stockflow import fixtures as fx
 from stockflow.functions.dates import with_year_month
-from stockflow.operators import daily, flows
+from stockflow.operators import daily, flows, halo
 from stockflow.operators.halo import IS_HALO, drop_halo, segment_window, with_halo
 
 KEYS, MONTH = ["item_code", "warehouse"], ["year", "month"]
@@ -62,8 +62,12 @@ def test_halo_windows_equal_whole_windows(spark, sparse, lookback, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_flows_equal_plain_differences(spark):
-    days = daily.daily_snapshot(fx.snap(spark, SMALL_SF_DIR), fx.ORDER)
+@pytest.mark.parametrize("shares", [1, 4, 300])
+def test_flows_equal_plain_differences(spark, monkeypatch, shares):
+    """With no item too frequent, the same for some, and all items cut into slices."""
+    monkeypatch.setattr(halo, "SHARES", shares)
+    days = daily.daily_snapshot(fx.snap(spark, SMALL_SF_DIR), fx.ORDER).cache()
+    assert bool(halo.frequent(days, "item_code")) == (shares == 300)
     window = Window.partitionBy(*KEYS).orderBy("dt")
     plain = days.withColumn(
         "stock_diff", F.coalesce(F.col("stock") - F.lag("stock").over(window), F.lit(0.0))
@@ -72,3 +76,20 @@ def test_flows_equal_plain_differences(spark):
     split = flows.with_flows(days).select(*columns)
     assert split.exceptAll(plain.select(*columns)).count() == 0
     assert split.count() == plain.count()
+    days.unpersist()
+
+
+def test_slices_follow_time_in_any_zone(spark):
+    """Hours that a clock change skips or repeats do not turn the slices of a series around."""
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        times = spark.range(400).select(
+            F.lit("x").alias("k"), (F.lit("2024-03-30 20:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id") * 10)).alias("dt")
+        )
+        cut = halo.with_slices(times, "k", "dt", {"x": 32}, times).orderBy("dt")
+        found = [r[halo.SLICE] for r in cut.collect()]
+        assert found == sorted(found) and len(set(found)) == 32
+        zoned = times.withColumn("dt", F.timestamp_seconds(F.lit(1_729_980_000) + F.monotonically_increasing_id() % 1000))
+        assert halo.with_slices(zoned, "k", "dt", {"x": 32}, zoned).where(F.col(halo.SLICE).isNull()).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

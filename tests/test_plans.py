@@ -24,13 +24,42 @@ def _formatted(df) -> str:
 
 
 def test_month_chain_reads_and_deduplicates_once(spark):
+    """With no item too frequent: deduplication, placement by item, and nothing more up to the totals."""
+    for name in ("monthly_summary", "item_totals", "net_of_transfers"):
+        plan = _plan(QUERIES[name](spark, SMALL_SF_DIR), run=True)
+        assert plan.count("FileScan parquet [l_") == 1
+        assert len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange hashpartitioning", plan)) == 2, name
+
+
+def test_month_chain_with_frequent_items_reads_once(spark):
     plan = _plan(QUERIES["monthly_summary"](spark, SF_DIR), run=True)
-    assert plan.count("FileScan parquet [l_") == 1
-    assert "ReusedExchange" in plan
-    # deduplication, placement by month, its halo, and the halo's series
-    assert len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange hashpartitioning", plan)) - plan.count(
-        "], Exchange hashpartitioning"
-    ) == 4
+    assert plan.count("FileScan parquet [l_") == 1 and "ReusedExchange" in plan
+
+
+def test_numbers_by_load_rank_need_no_sort(spark):
+    assert "Sort" not in _plan(QUERIES["daily_rollup"](spark, SF_DIR), run=True)
+
+
+def test_stored_items_are_looked_up_in_their_bucket(spark):
+    """The number of buckets is shown only by a scan that keeps them apart; other scans skip the same files."""
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        plan = _formatted(QUERIES["stored_item_line"](spark, SF_DIR))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert re.search(r"SelectedBucketsCount: 1 out of 16", plan)
+    assert re.search(r"PushedFilters: \[.*EqualTo\(item_key,it-000007", plan)
+
+
+def test_stored_items_are_joined_where_they_lie(spark):
+    """Also where the picks are too many to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(QUERIES["stored_drill_down"](spark, SF_DIR), run=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stored = plan[: plan.index("Bucketed: true")].rindex("SortMergeJoin")
+    assert "Exchange" not in plan[stored : plan.index("Bucketed: true")] and "LeftSemi" in plan[stored:]
 
 
 def test_filters_on_keys_reach_the_scan(spark, tmp_path):

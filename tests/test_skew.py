@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from stockflow.operators import daily, flows, identity, monthly
+from stockflow.operators import daily, flows, halo, identity, monthly, skew
 
 ROWS = 120_000
 HOT_ITEM = "hot"
@@ -46,6 +46,65 @@ def test_series_of_a_hot_item_is_spread(spark, skewed):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_item_sold_everywhere_at_once_is_spread(spark):
+    """All rows of the hot item are of one day, in thousands of warehouses: slices of time alone would not part them."""
+    wide = spark.range(30_000).select(
+        F.timestamp_seconds(F.lit(1_500_000_000) + F.col("id") % 3).cast("timestamp_ntz").alias("dt"),
+        F.when(F.col("id") % 3 == 0, HOT_ITEM).otherwise(F.concat(F.lit("i"), F.col("id") % 700)).alias("item_code"),
+        F.concat(F.lit("w"), "id").alias("warehouse"),
+        (F.col("id") % 41).cast("double").alias("stock"),
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        moved = flows.with_flows(wide)
+        assert _largest_share(moved) < 0.12 and moved.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_frequent_values_are_few_and_named(spark, skewed):
+    found = halo.frequent(skewed, "item_code")
+    assert found == {HOT_ITEM: 11}  # a third of 32 shares
+    assert halo.frequent(skewed.limit(0), "item_code") == {}
+    # Ten values share the rows alike, and each is more than one of the 32 shares.
+    assert len(halo.frequent(spark.range(1000).select((F.col("id") % 10).cast("string").alias("k")), "k")) == 10
+    assert halo.frequent(spark.range(1000).select((F.col("id") % 100).cast("string").alias("k")), "k") == {}
+
+
+def test_names_of_a_hot_key_are_joined_salted(spark, skewed):
+    """Half of the rows have one key, and adaptive execution does not help."""
+    keys = ["warehouse", "item_code"]
+    half = skewed.withColumn("item_code", F.when(F.col("seq") % 2 == 0, HOT_ITEM).otherwise(F.col("item_code"))).withColumn(
+        "warehouse", F.when(F.col("seq") % 2 == 0, "w0").otherwise(F.col("warehouse"))
+    )
+    settings = {
+        "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "-1"
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        named = identity.canonical_names(half, keys)
+        assert _largest_share(named) < 0.12
+        plain = half.join(identity.name_table(half, keys), keys, "left").select("seq", "canonical_name")
+        assert named.select("seq", "canonical_name").exceptAll(plain).count() == 0 and named.count() == ROWS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_salted_join_keeps_rows_without_a_partner(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(90)] + [("b", 1), (None, 2), ("c", 3)], "k string, v long")
+    table = spark.createDataFrame([("a", "A"), ("b", "B"), (None, "N")], "k string, name string")
+    found = {r.k: r.name for r in skew.salted_join(rows, table, ["k"]).collect()}
+    assert found == {"a": "A", "b": "B", "c": None, None: None}
+    assert skew.salted_join(rows, table, ["k"]).count() == 93 and skew.salted_join(rows, table, ["k"], "inner").count() == 91
+    with pytest.raises(ValueError, match="left or inner"):
+        skew.salted_join(rows, table, ["k"], "full")
+
+
 def test_hot_results_stay_whole(skewed):
     moved = flows.with_flows(daily.daily_snapshot(skewed, ["seq"]))
     hot = sorted(r[0] for r in skewed.filter(F.col("item_code") == HOT_ITEM).select("seq").collect())

@@ -7,9 +7,10 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR, day, rows
-from stockflow import queries, session
-from stockflow.operators import filters, spikes, tables
+from conftest import SF_DIR, SMALL_SF_DIR, day, rows
+from stockflow import fixtures as fx, queries, session
+from stockflow.operators import daily, filters, flows, monthly, spikes, tables
+from stockflow.plans import months as kept_months
 from stockflow.schema import HEADINGS, MONTHLY, MONTHLY_DEFAULTS
 from stockflow.sources import tables as st
 
@@ -78,7 +79,7 @@ def test_csv_is_ordered(spark, tmp_path):
         "dt string, warehouse string, item_code string",
     )
     st.write_csv(frame, str(path))
-    lines = [l for part in sorted(path.glob("part-*")) for l in part.read_text().splitlines()]
+    lines = [l for part in sorted(path.glob("part-*")) for l in part.read_text("utf-8-sig").splitlines()]
     assert [l for l in lines if not l.startswith("dt")] == [
         "2025-01-01,W1,c", "2025-01-01,W2,a", "2025-01-02,W1,b",
     ]
@@ -89,7 +90,10 @@ def test_stage_uses_the_configured_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
     staged = st.stage(spark.range(5), "five")
     assert staged.count() == 5
-    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["five"]
+    folder = tmp_path / spark.sparkContext.applicationId
+    assert [p.name.split("-")[0] for p in folder.iterdir()] == ["five"]
+    session.drop_run_dir(spark)
+    assert list(tmp_path.iterdir()) == []
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -100,12 +104,21 @@ def test_shared_folder_comes_from_the_session(spark):
         def get(self, key, default=None):
             return self.values.get("dir" if "checkpoint" in key else "warehouse", default)
 
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
     class Session:
-        def __init__(self, **values):
-            self.conf = Conf(**values)
+        def __init__(self, master="yarn", **values):
+            self.conf, self.sparkContext = Conf(**values), Context(master)
 
     assert session.shared_dir(Session(dir="s3://bucket/x/", warehouse="s3://w")) == "s3://bucket/x"
     assert session.shared_dir(Session(warehouse="s3://w/")) == "s3://w/staged"
+    for master in ("local", "local[8]", "local[2,3]", "local[*]"):
+        assert session.shared_dir(Session(master, warehouse="file:/w")) == "file:/w/staged"
+    for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.shared_dir(Session(master, warehouse="file:/w"))
 
 
 def test_shaping(spark):
@@ -144,3 +157,94 @@ def test_report_formats_every_item_that_sold(spark, monkeypatch):
     shown = queries.QUERIES["format_report"](spark, SF_DIR)
     assert shown.count() == 100 * sold.count() > 1000
     assert shown.select("price_change_frac").filter("price_change_frac not like '%\\%'").count() == 0
+
+
+def test_each_csv_file_starts_with_a_byte_order_mark(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"w{i % 3}", "ключ") for i in range(50)], "dt int, warehouse string, item_code string")
+    st.write_csv(frame.repartition(4), str(tmp_path / "csv"))
+    files = [p.read_bytes() for p in (tmp_path / "csv").glob("*.csv")]
+    assert files and all(f.startswith("\ufeffdt,warehouse,item_code\n".encode()) for f in files)
+    found = st.read_table_or_empty(spark, str(tmp_path / "csv"), "dt int, warehouse string, item_code string", "csv")
+    assert rows(found, *found.columns) == rows(frame, *frame.columns)
+
+
+# Months kept up to date.
+
+
+def _files(folder) -> dict:
+    return {p.relative_to(folder).as_posix(): p.stat().st_mtime_ns for p in folder.rglob("part-*")}
+
+
+def _months_of(found: dict, table: str) -> set[str]:
+    return {name.split("/part-")[0] for name in found if name.startswith(f"{table}/")}
+
+
+def _part(snap, low: str, high: str):
+    return snap.where((F.col("dt") >= F.lit(low).cast("timestamp_ntz")) & (F.col("dt") < F.lit(high).cast("timestamp_ntz")))
+
+
+@pytest.fixture(scope="module")
+def history(spark):
+    """A year of snapshots, in which many series pause for months."""
+    return _part(fx.snap(spark, SMALL_SF_DIR), "1996-01-01", "1997-01-01").cache()
+
+
+@pytest.fixture(scope="module")
+def whole(history):
+    cleaned = tables.clean_snapshots(history)
+    return monthly.monthly_summary(flows.net_of_transfers(flows.with_flows(daily.daily_snapshot(cleaned, fx.ORDER)))).cache()
+
+
+def _same(found, expected) -> bool:
+    columns = expected.columns
+    assert found.count() == expected.count()
+    return found.select(columns).exceptAll(expected).isEmpty()
+
+
+def test_new_month_writes_its_own_folders_only(spark, history, whole, tmp_path):
+    path = str(tmp_path)
+    kept_months.update_months(_part(history, "1996-01-01", "1996-12-01"), path, fx.ORDER)
+    before = _files(tmp_path)
+    kept_months.update_months(_part(history, "1996-12-01", "1997-01-01"), path, fx.ORDER)
+    after = _files(tmp_path)
+    changed = {f: t for f, t in after.items() if before.get(f) != t}
+    assert _months_of(changed, "monthly") == {"monthly/year=1996/month=12"}
+    assert _months_of(changed, "daily") == {"daily/year=1996/month=12"}
+    assert _months_of(changed, "last") == {f"last/as_of={1996 * 12 + 11}"}
+    assert before.keys() <= after.keys()
+    assert _same(kept_months.monthly_fact(spark, path), whole)
+    # Again, as after a load that broke off.
+    kept_months.update_months(_part(history, "1996-12-01", "1997-01-01"), path, fx.ORDER)
+    assert _same(kept_months.monthly_fact(spark, path), whole)
+
+
+def test_corrected_month_reaches_the_months_after_it(spark, history, whole, tmp_path):
+    path = str(tmp_path)
+    wrong = history.withColumn("stock", F.when(F.month("dt") == 6, F.col("stock") + 3).otherwise(F.col("stock")))
+    for low, high in (("1996-01-01", "1996-07-01"), ("1996-07-01", "1996-10-01"), ("1996-10-01", "1997-01-01")):
+        kept_months.update_months(_part(wrong, low, high), path, fx.ORDER)
+    assert not _same(kept_months.monthly_fact(spark, path), whole)
+    before = _files(tmp_path)
+    kept_months.update_months(_part(history, "1996-06-01", "1996-07-01"), path, fx.ORDER)
+    assert _same(kept_months.monthly_fact(spark, path), whole)
+    kept = {f for f, t in _files(tmp_path).items() if before.get(f) == t}
+    assert {f"monthly/year=1996/month={m}" for m in range(1, 6)} == _months_of(kept, "monthly")
+    # The seeds stored for later months have been corrected, too.
+    kept_months.update_months(_part(history, "1996-10-01", "1997-01-01"), path, fx.ORDER)
+    assert _same(kept_months.monthly_fact(spark, path), whole)
+
+
+def test_seeds_do_not_need_the_stored_last_rows(spark, history, tmp_path):
+    path = str(tmp_path)
+    kept_months.update_months(_part(history, "1996-01-01", "1996-06-01"), path, fx.ORDER)
+    begin = 1996 * 12 + 5
+    stored = kept_months.seeds_before(spark, path, begin)
+    assert "as_of" in stored._jdf.queryExecution().optimizedPlan().toString()
+    earlier = kept_months.seeds_before(spark, path, begin - 2)
+    days = daily.daily_snapshot(tables.clean_snapshots(_part(history, "1996-01-01", "1996-04-01")), fx.ORDER)
+    assert _same(earlier, kept_months._last_rows(days).select(earlier.columns))
+
+
+def test_loading_nothing_changes_nothing(spark, history, tmp_path):
+    kept_months.update_months(history.limit(0), str(tmp_path), fx.ORDER)
+    assert _files(tmp_path) == {} and kept_months.monthly_fact(spark, str(tmp_path)).count() == 0

@@ -8,9 +8,10 @@ import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import workbook_files as wf
-from conftest import day, rows
+from conftest import SF_DIR, day, rows
 from stockflow import fixtures as fx
 from stockflow.plans.analyses import run_from_folders, write_month_analysis
 from stockflow.sources import workbooks as wb
@@ -140,3 +141,26 @@ def test_every_table_of_the_analysis_is_read_back(spark, folders, tmp_path):
             continue
         found = spark.read.parquet(str(tmp_path / "out" / name)).select(*df.columns)
         assert found.exceptAll(df).isEmpty() and df.exceptAll(found).isEmpty(), name
+
+
+def test_load_rank_is_the_order_of_file_and_row(spark):
+    rows_of_files = [(f"dir/{name}", row) for name in ("a", "b", "é", "ab", "") for row in (1, 5, 1_048_576)]
+    many = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") * 7919 % 3000).alias("src_file"), F.lit(2).alias("src_row"))
+    snapshots = spark.createDataFrame(rows_of_files, "src_file string, src_row int").union(many).repartition(5)
+    found = wb.with_load_rank(snapshots).collect()
+    assert len(found) == 3015 and len({r.load_rank for r in found}) == 3015
+    by_rank = [(r.src_file.encode(), r.src_row) for r in sorted(found, key=lambda r: r.load_rank)]
+    assert by_rank == sorted(by_rank) and min(r.load_rank for r in found) >= 0
+    assert wb.with_load_rank(snapshots.limit(0)).count() == 0
+
+
+def test_stored_grids_of_some_warehouses_are_loaded(spark, tmp_path):
+    grid = fx.grid(spark, SF_DIR)
+    for name in ("WH-A", "WH-N"):
+        grid.where(F.col("warehouse") == name).drop("warehouse").write.parquet(str(tmp_path / name))
+    folders = {name: str(tmp_path / name) for name in ("WH-A", "WH-gone", "WH-N")}
+    found = wb.load_snapshots(spark, folders, wb.scan_grids)
+    expected = wb.snapshots_from_grid(grid.where(F.col("warehouse").isin("WH-A", "WH-N")))
+    assert found.select(expected.columns).exceptAll(expected).isEmpty() and found.count() == expected.count()
+    with pytest.raises(ValueError, match="no warehouse"):
+        wb.load_snapshots(spark, {"WH-gone": str(tmp_path / "gone")}, wb.scan_grids)
