@@ -255,7 +255,7 @@ def _sql(text: str) -> str:
 MONTH = "item_code, warehouse, year, month"
 TOTAL_COLUMNS = (
     "item_code, warehouse, item_name, manufacturer, total_sold, total_restocked, sale_days, "
-    "round(avg_price, 6) as avg_price, min_price, max_price, open_price, close_price, "
+    "round(avg_price + 1e-9, 6) as avg_price, min_price, max_price, open_price, close_price, "
     "in_stock_days, turnover"
 )
 CLEAN_CODE = "upper(replace(item_code, '-', ''))"

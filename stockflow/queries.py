@@ -94,8 +94,11 @@ def _all_series(spark, d):
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Means of means depend on the order of summing; compare them to six places."""
-    return df.withColumns({c: F.round(c, 6) for c in columns or ["avg_price"]})
+    """Means of means depend on the order of summing; compare them to six places.
+
+    A mean that lies midway between two such numbers goes to the upper one, whatever its last bit is.
+    """
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in columns or ["avg_price"]})
 
 
 def _month_stamp(df: DataFrame) -> DataFrame:
