@@ -74,7 +74,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_index.exact_dedup(table(spark, sf_dir, "documents"))
+    """All documents, those whose id 50 divides loaded after all others as new data."""
+    late = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    return digest_index.exact_dedup(table(spark, sf_dir, "documents"), loads=[~late])
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,8 @@ and with the form of a text as its topic.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import count_of, known, staged, unused, words
 
@@ -26,6 +25,8 @@ SMOOTHING = 0.9
 #: Share of all tokens that stays.
 RATE = 0.9
 ROUNDS = 40
+#: Rounds after which the cells are written.
+ROUNDS_WRITTEN = 4
 #: Largest difference between a raked and a target share at which raking ends.
 TOLERANCE = 1e-12
 _HASH_RANGE = 1 << 52
@@ -70,19 +71,33 @@ def with_dimensions(
     return docs.withColumns(dict(zip(keys, values, strict=True))), keys
 
 
+def margins(cells: DataFrame) -> DataFrame:
+    """(dimension, value, tokens) of the values of all dimensions."""
+    each = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS]
+    rows = cells.select("tokens", F.explode(F.array(*each)).alias("m"))
+    return rows.groupBy("m.dimension", "m.value").agg(F.sum("tokens").alias("tokens"))
+
+
 def smoothed_targets(cells: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """(dimension, value, share): each margin's own shares to the power of ``smoothing``, brought to the sum 1."""
-    found = []
-    for d in DIMENSIONS:
-        margin = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens"), smoothing).alias("part"))
-        share = F.col("part") / _total(margin, "part")
-        found.append(margin.select(F.lit(d).alias("dimension"), "value", share.alias("share")))
-    return reduce(DataFrame.unionByName, found)
+    found = margins(cells).withColumn("part", F.pow("tokens", F.lit(smoothing)))
+    return found.select("dimension", "value", (F.col("part") / _sum_of("part", "dimension")).alias("share"))
+
+
+def _sum_of(column: str, *keys: str) -> Column:
+    return F.sum(column).over(Window.partitionBy(*keys))
 
 
-def _total(df: DataFrame, column: str) -> Column:
-    """The sum of a column as a number known to the plan."""
-    return F.lit(df.agg(F.sum(column)).first()[0]).cast("double")
+def _wanted(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """(dimension, value, target) for every value that occurs; the targets of a dimension add up to 1, or are all 0."""
+    given = targets.select("dimension", F.col("value").cast("string").alias("value"), F.col("share").cast("double").alias("share"))
+    each = Window.partitionBy("dimension")
+    # A target that no value has still counts as one given for its dimension.
+    known_dimensions = given.select("dimension").distinct().withColumn("given", F.lit(True))
+    rows = margins(cells).join(given, ["dimension", "value"], "left").join(known_dimensions, "dimension", "left")
+    rows = rows.withColumn("wanted", F.when(F.col("given"), F.coalesce("share", F.lit(0.0))).otherwise(F.col("tokens").cast("double")))
+    total = F.sum("wanted").over(each)
+    return rows.select("dimension", "value", F.when(total > 0, F.col("wanted") / total).otherwise(0.0).alias("target"))
 
 
 def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -91,35 +106,30 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
     ``targets`` has a row (dimension, value, share) for each value of a margin. A value without one counts as
     target 0 and its cells get nothing; targets of values that do not occur are left out, and the rest scaled to
     the sum 1. A dimension without any target keeps its own shares. Cells are one for each combination that
-    occurs, usually few however many documents there are; no step relies on that. Each round is written, so
-    plans stay short.
+    occurs, however many documents there are; a window holds those of one value, on disk if they are many. Some
+    rounds at a time are written, so plans stay short.
     """
+    wanted = staged(_wanted(cells, targets), "targets")
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
-        wanted = targets.where(F.col("dimension") == d)
-        wanted = wanted.select(F.col("value").cast("string").alias(d), F.col("share").cast("double").alias("target"))
-        if wanted.isEmpty():
-            wanted = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("target"))
-        own = staged(cells.select(d).distinct().join(wanted, d, "left").fillna(0.0, ["target"]), "targets")
-        total = _total(own, "target")
-        own = own.select(d, F.when(total > 0, F.col("target") / total).otherwise(0.0).alias(f"target_{d}"))
-        now = now.join(own, d)
+        own = wanted.where(F.col("dimension") == d)
+        now = now.join(own.select(F.col("value").alias(d), F.col("target").alias(f"target_{d}")), d)
     now = staged(now, "cells")
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            now = _scaled(now, d)
+    for done in range(0, rounds, ROUNDS_WRITTEN):
+        for _ in range(min(ROUNDS_WRITTEN, rounds - done)):
+            for d in DIMENSIONS:
+                now = _scaled(now, d)
         now = staged(now, "raked")
         if _error(now) < tolerance:
             break
-    return now.select(*DIMENSIONS, "tokens", (F.col("weight") / _total(now, "weight")).alias("share"))
+    total = F.lit(now.agg(F.sum("weight")).first()[0]).cast("double")
+    return now.select(*DIMENSIONS, "tokens", (F.col("weight") / total).alias("share"))
 
 
 def _scaled(cells: DataFrame, d: str) -> DataFrame:
     """Cells scaled so that the weights of each value of a dimension add up to its target."""
-    margin = cells.groupBy(d).agg(F.sum("weight").alias("sum"), F.first(f"target_{d}").alias("wanted"))
-    factor = F.when(F.col("sum") > 0, F.col("wanted") / F.col("sum")).otherwise(0.0)
-    factors = margin.select(d, factor.alias("factor"))
-    return cells.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+    total = _sum_of("weight", d)
+    return cells.withColumn("weight", F.col("weight") * F.when(total > 0, F.col(f"target_{d}") / total).otherwise(0.0))
 
 
 def _error(cells: DataFrame) -> float:

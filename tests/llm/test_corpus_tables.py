@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,19 +55,58 @@ def test_new_data_meets_the_index(spark):
     first = spark.createDataFrame([(1, "a"), (5, "a"), (2, "b")], "doc_id long, text string")
     second = spark.createDataFrame([(9, "a"), (7, "c"), (8, "c")], "doc_id long, text string")
     index = digest_index.DigestIndex(spark, path, 3)
-    index.add(first)
+    index.add(first, "monday")
     again = digest_index.DigestIndex(spark, path, 3)
-    again.add(second)
-    again.add(second)
+    for _ in range(2):  # the second time as after a load that broke off
+        again.add(second, "tuesday")
     assert again.entries().count() == 3
-    kept = {r.doc_id: (r.keep_id, r.kept) for r in digest_index.verdicts(second, again).collect()}
-    assert kept == {9: (5, False), 7: (8, False), 8: (8, True)}
+    assert again.rows().where("is_new").count() == 3
+    found = digest_index.verdicts(digest_index.digests(first.union(second)), again).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found} == {
+        1: (9, 3, False), 5: (9, 3, False), 9: (9, 3, True), 2: (2, 1, True), 7: (8, 2, False), 8: (8, 2, True)
+    }
+    again.add(spark.createDataFrame([(3, "a"), (4, "b")], "doc_id long, text string"), "wednesday")
+    assert sorted((r.keep_id, r.group_size) for r in again.entries().collect()) == [(4, 2), (8, 2), (9, 4)]
+    again.add(first.limit(0))
+    assert again.entries().count() == 3
+    again.forget()
+    assert digest_index.DigestIndex(spark, path, 3).entries().count() == 3
 
 
-def test_index_is_bucketed_and_anti_joined(spark, capsys):
+def test_index_is_bucketed_and_anti_joined_where_it_lies(spark):
     index = digest_index.DigestIndex(spark, buckets=4)
     rows = {r.col_name: r.data_type for r in spark.sql(f"describe formatted {index.name}").collect()}
     assert rows["Num Buckets"] == "4" and "digest" in rows["Sort Columns"]
+    docs = table(spark, SF_DIR, "documents")
+    index.add(docs.where("doc_id % 2 = 0"))
+    groups = digest_index.digests(docs).groupBy("digest").agg(F.max("id").alias("keep_id"))
+    new = index.new_groups(groups)
+    new.collect()
+    plan = new._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    join = plan[plan.index("SortMergeJoin") :]
+    assert re.match(r"SortMergeJoin(\(skew=true\))? \[digest#\d+\], \[digest#\d+\], LeftAnti", join)
+    # The groups are the first child of the join, the index is the second.
+    stored = join[: join.index("Bucketed: true")]
+    assert stored.count("FileScan") == 2 and "Exchange" not in stored[stored.rindex("+- ") :]
+    assert "Exchange" not in index.entries()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_text_is_spread_and_judged(spark):
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("t"), F.col("id") % 6000)).alias("text")
+    )
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = digest_index.exact_dedup(docs)
+        sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 2400
+        assert found.where("group_size = 6667 and keep_id = 19998").count() == 6667
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 # Near-duplicates.
