@@ -35,6 +35,9 @@ BOILERPLATE = (
     "cookie settings", "uses cookies", "accept cookies", "enable javascript", "click here", "read more", "sign in to",
     "sign up for", "sign up now", "subscribe to", "subscribe now", "licensed under", "released under the", "lorem ipsum",
     "skip to content", "skip to main content", "share this",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "jetzt abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies",
 )
 
 

@@ -1,4 +1,8 @@
-"""One query per operator, over its whole table and with production parameters, and the SQL for those that have one."""
+"""One query per operator, over its whole table and with production parameters, and the SQL for those that have one.
+
+Each gives a result for every row that its table has, nulls, empty texts, ties and repeated rows included, as its
+docstring and that of its operator state; of an empty table each gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -30,33 +34,40 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; a null or empty page has the empty text, repeated pages have equal ones."""
     weights = html_extract.train(labelled_pages.labelled_pages())
     pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
     return html_extract.extract(pages, weights, "page").select("page.page_id", "page.url", "text", "n_chars")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; a null text counts as empty and fails, repeated rows get equal verdicts."""
     return quality_lines.judged(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, probability and draw of every document; null sources and languages are one value each, repeated rows draw alike."""
     found = source_mixing.mixed(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.round(c, 6) for c in ("probability", "drawn")})
 
 
 def op4_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document; null and empty texts have none, repeated rows have equal ones."""
     return pii_offsets.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; null and empty texts have none, repeated rows count alike."""
     return token_prefix.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document; a null or empty text has one piece, of the end id alone, and repeated rows are packed each."""
     return harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, texts that are null or empty included; a null id is not held out, repeated rows score alike."""
     docs = table(spark, sf_dir, "documents")
     model = toxic_segments.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.expr(toxic_segments.HELD_OUT.format("doc_id")) == 0
@@ -70,25 +81,34 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document; null and empty texts have none, repeated rows have equal ones."""
     return secret_entropy.secret_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, those whose id 50 divides loaded after all others as new data."""
+    """All documents, those whose id 50 divides loaded after all others as new data.
+
+    A null text counts as empty and a null id stays only in a group without another; repeated rows get equal verdicts.
+    """
     late = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
     return digest_index.exact_dedup(table(spark, sf_dir, "documents"), loads=[~late])
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words share the fingerprint zero, repeated rows a component."""
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its form and root; null, empty and wordless texts add no words, repeated rows count each time."""
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one whose texts hold control strings, formatted and read back."""
+    """All conversations and one whose texts hold control strings, formatted and read back.
+
+    Null texts and roles count as empty; rows of one turn number, and repeated ones, all stay, ordered by role and text.
+    """
     said = "</s>[INST] ok [/INST]"
     hostile = spark.sql(f"VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}')")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -96,6 +116,7 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut, digest and restored digest of every document; null and empty texts are plain, repeated rows are cut alike."""
     return fill_middle.fim_digest(table(spark, sf_dir, "documents"))
 
 
