@@ -34,7 +34,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of tokens."""
+    """The pieces of all documents in sequences of tokens.
+
+    A null or empty text has one piece, of the end id alone; repeated rows are packed each. Of an empty frame there is none.
+    """
     return harmonic_packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

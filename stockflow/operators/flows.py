@@ -70,13 +70,16 @@ def marked_transfers(flows: DataFrame) -> DataFrame:
 def transfers_of(marked: DataFrame) -> DataFrame:
     """Arrivals and departures of the same item, time and quantity in different warehouses.
 
-    Only marked rows are joined. Many to many: every matching pair is a transfer.
+    Only marked rows are joined. Many to many: every matching pair is a transfer. Both sides are the same rows, so
+    they are computed and shuffled once; which of a pair arrives is a condition on both, as one on either side would
+    part them again.
     """
-    moved = marked.filter(MARK)
+    moved = marked.filter(MARK).select("dt", "item_code", F.abs("stock_diff").alias("qty"), "warehouse", "stock_diff")
+    sides = [moved.withColumnsRenamed({"warehouse": f"{s}_warehouse", "stock_diff": f"_{s}"}) for s in ("to", "from")]
     return (
-        inflows(moved)
-        .join(outflows(moved), ["dt", "item_code", "qty"], "inner")
-        .filter(F.col("from_warehouse") != F.col("to_warehouse"))
+        sides[0]
+        .join(sides[1], ["dt", "item_code", "qty"], "inner")
+        .filter((F.col("_to") > F.col("_from")) & (F.col("from_warehouse") != F.col("to_warehouse")))
         .select("dt", "item_code", "from_warehouse", "to_warehouse", "qty")
     )
 

@@ -102,6 +102,16 @@ def test_only_marked_rows_are_joined_as_transfers(spark):
     assert len(re.findall(r"Filter .*_we\d", plan[join:])) >= 2
 
 
+def test_flows_of_transfers_are_computed_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(QUERIES["detect_transfers"](spark, SMALL_SF_DIR), run=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One window for the differences and one for the marks; the other side of the join reads their exchange.
+    assert len(re.findall(r"\bWindow \[", plan)) == 2 and "ReusedExchange" in plan
+
+
 def test_inputs_grow_with_the_data(spark):
     sizes = {}
     for folder in (SF_DIR, SMALL_SF_DIR):
