@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import fresh_path
+
 #: White space that separates words, and blanks of the same number.
 WHITE = "\t\n\x0b\x0c\r"
 BLANKS = " " * len(WHITE)
@@ -59,23 +60,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share.
-
-    It is the one in ``spark.checkpoint.dir``; only where that is unset, one below the warehouse.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The frame written once as Parquet below the shared folder and read again.
+    """The frame written once as Parquet in the run's part of the shared folder and read again.
 
     It cuts the lineage like a checkpoint, and its files tell Spark the frame's size.
     """
