@@ -37,7 +37,8 @@ def _text(value) -> str:
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{SF_DIR}/documents.parquet'")
+    for name_of_table in ("documents", "conversations"):
+        duck.execute(f"create view {name_of_table} as select * from '{SF_DIR}/{name_of_table}.parquet'")
     cursor = duck.execute(queries.ORACLES[name])
     columns = sorted(c[0] for c in cursor.description)
     place = [[c[0] for c in cursor.description].index(c) for c in columns]
