@@ -60,8 +60,11 @@ def name_table(df: DataFrame, key: Sequence[str] = NAME_KEYS, rows: str | None =
 
 
 def canonical_names(df: DataFrame, key: Sequence[str] = NAME_KEYS) -> DataFrame:
-    """Add the canonical name and whether the row's name differs. The rows of a frequent key are salted."""
-    return salted_join(df, name_table(df, key), key).withColumn(
+    """Add the canonical name and whether the row's name differs.
+
+    The rows of a frequent key are salted, unless adaptive execution splits them.
+    """
+    return salted_join(df, name_table(df, key), key, adaptive=True).withColumn(
         "name_changed", name_changed("item_name", "canonical_name")
     )
 
