@@ -173,7 +173,9 @@ PARTS = {
           coalesce(stock, 0.0) as stock, coalesce(price, 0.0) as price, manufacturer, item_code,
           warehouse, src_file, src_row
         from book_lines""",
-    "exports": "select * from sold_totals where item_name is not null",
+    "exports": """
+        select * replace (round(avg_price + 1e-9, 6) as avg_price) from sold_totals
+        where item_name is not null""",
     "widened": "select *, total_sold * 1000000 + 0.5 as large, max_price / 100000 as small from monthly",
     "rollup": f"""
         select dt, item_code, warehouse, coalesce(sum(stock), 0.0) as total_sold,

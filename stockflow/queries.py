@@ -290,7 +290,7 @@ def fmt_date(spark, d):
 
 @query
 def format_report(spark, d):
-    sold = ranking.rank_input(_sold(spark, d), "total_sold")
+    sold = ranking.rank_input(_rounded(_sold(spark, d)), "total_sold")
     shown = report.format_report(ranking.export_columns(sold))
     return shown.select(
         *ITEM_KEYS, "avg_price", "open_price", "close_price", "total_restocked", "turnover",
