@@ -11,18 +11,15 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import as_of_source, parse_as_of, resolve_as_of
 from ..functions.numbers import to_number
 from ..functions.text import strip_ws
-from ..operators.tables import union_all
-from .tables import is_missing
 
 CELLS = "a string, b string, c string, d string, e string, f string"
 DECODED = f"src_file string, file_ts timestamp_ntz, as_of_cell string, src_row int, {CELLS}, error string"
@@ -201,10 +198,15 @@ def decode_workbooks(files: DataFrame) -> DataFrame:
     ).mapInArrow(_decode, DECODED)
 
 
-def scan_workbooks(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
-    """Cell grid of every workbook in a folder, tagged with its warehouse."""
+#: Where a row was read from, until its warehouse is known: as Spark shows a path, or as an address with escapes.
+_PATH, _ADDRESS = "_path", "_address"
+
+
+def scan_workbooks(spark: SparkSession, path: str | Sequence[str], warehouse: str | None = None) -> DataFrame:
+    """Cell grid of every workbook in a folder, tagged with its warehouse; of several folders, with their paths."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(path)
-    return decode_workbooks(files).withColumn("warehouse", F.lit(warehouse))
+    grid = decode_workbooks(files)
+    return grid.withColumn(_PATH, F.col("src_file")) if warehouse is None else grid.withColumn("warehouse", F.lit(warehouse))
 
 
 def _dated(grid: DataFrame) -> DataFrame:
@@ -272,25 +274,68 @@ def ingest_audit(grid: DataFrame) -> DataFrame:
     )
 
 
-def scan_grids(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
-    """Cell grid that was stored as Parquet, tagged with its warehouse."""
-    return spark.read.parquet(path).withColumn("warehouse", F.lit(warehouse))
+def scan_grids(spark: SparkSession, path: str | Sequence[str], warehouse: str | None = None) -> DataFrame:
+    """Cell grid that was stored as Parquet, tagged with its warehouse; of several folders, with their addresses.
+
+    A column that only some folders have is missing in the others.
+    """
+    paths = [path] if isinstance(path, str) else path
+    grid = spark.read.option("mergeSchema", True).parquet(*paths)
+    if warehouse is None:
+        return grid.withColumn(_ADDRESS, F.col("_metadata.file_path"))
+    return grid.withColumn("warehouse", F.lit(warehouse))
 
 
 def load_snapshots(
     spark: SparkSession,
     folders: Mapping[str, str],
-    scan: Callable[[SparkSession, str, str], DataFrame] = scan_workbooks,
+    scan: Callable[[SparkSession, list[str]], DataFrame] = scan_workbooks,
 ) -> DataFrame:
     """Snapshot rows of several warehouses; a missing folder is skipped, all missing is an error.
 
-    ``scan`` reads a folder: of workbooks, or with ``scan_grids`` of grids decoded before.
+    ``scan`` reads folders: of workbooks, or with ``scan_grids`` of grids decoded before. All folders are one scan, so
+    the plan does not grow with the warehouses.
     """
-    grids = [_scan_or_none(spark, path, warehouse, scan) for warehouse, path in folders.items()]
-    grid = union_all(grids)
-    if grid is None:
+    found = _folders(spark, folders)
+    if not found:
         raise ValueError("no warehouse folder could be read")
-    return snapshots_from_grid(grid)
+    # Found paths are names, no patterns.
+    paths = [re.sub(r"([][{}*?\\])", r"\\\1", path) for path in dict.fromkeys(path for _, path, _ in found)]
+    return snapshots_from_grid(_with_warehouse(scan(spark, paths), found))
+
+
+def _folders(spark: SparkSession, folders: Mapping[str, str]) -> list[tuple[str, str, str]]:
+    """Warehouse, path and address of the folders that are there; a path may be a pattern of several."""
+    found, conf = [], spark._jsc.hadoopConfiguration()
+    for warehouse, folder in folders.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(conf)
+        for status in files.globStatus(files.makeQualified(path)) or []:
+            found.append((warehouse, status.getPath().toString(), status.getPath().toUri().toString()))
+    return list(dict.fromkeys(found))
+
+
+def _plain(path: str) -> str:
+    """A path with one slash for an authority that is left out, which is written as one or as three."""
+    return re.sub(r"^([^:/]+):///", r"\1:/", path)
+
+
+def _with_warehouse(grid: DataFrame, found: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """The grid with the warehouse whose folder each row was read from, the innermost one if folders lie in another.
+
+    The list of folders is what the caller holds, and is broadcast. A folder that two warehouses name gives rows of both.
+    """
+    at = _PATH if _PATH in grid.columns else _ADDRESS
+    places = [(warehouse, _plain(path if at == _PATH else address)) for warehouse, path, address in found]
+    grid = grid.drop("warehouse").withColumn(at, F.regexp_replace(at, "^([^:/]+):///", "$1:/"))
+    known, depths = F.lit(None).cast("string"), {place.count("/") + 1 for _, place in places}
+    for depth in sorted(depths, reverse=True):
+        listed = zip(*[(w, place) for w, place in places if place.count("/") + 1 == depth])
+        names = grid.sparkSession.createDataFrame(pa.table([pa.array(c, pa.string()) for c in listed], [f"_at_{depth}", "_folder"]))
+        same = known.isNull() & (F.substring_index(at, "/", depth) == F.col("_folder"))
+        grid = grid.join(F.broadcast(names), same, "left").drop("_folder")
+        known = F.coalesce(known, f"_at_{depth}")
+    return grid.withColumn("warehouse", known).drop(at, *[f"_at_{depth}" for depth in depths])
 
 
 def with_load_rank(snapshots: DataFrame) -> DataFrame:
@@ -304,12 +349,3 @@ def with_load_rank(snapshots: DataFrame) -> DataFrame:
     ordinals = names.withColumn("_file", F.monotonically_increasing_id())
     rank = F.shiftleft("_file", ROW_BITS).bitwiseOR(F.col("src_row").cast("bigint"))
     return snapshots.join(ordinals, "src_file", "left").withColumn("load_rank", rank).drop("_file")
-
-
-def _scan_or_none(spark, path, warehouse, scan) -> DataFrame | None:
-    try:
-        return scan(spark, path, warehouse)
-    except AnalysisException as error:
-        if is_missing(error):
-            return None
-        raise

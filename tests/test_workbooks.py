@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import io
 import os
 import time
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import workbook_files as wf
 from conftest import SF_DIR, day, rows
-from stockflow import fixtures as fx
+from stockflow import fixtures as fx, queries
 from stockflow.plans.analyses import run_from_folders, write_month_analysis
 from stockflow.sources import workbooks as wb
 
@@ -164,3 +165,32 @@ def test_stored_grids_of_some_warehouses_are_loaded(spark, tmp_path):
     assert found.select(expected.columns).exceptAll(expected).isEmpty() and found.count() == expected.count()
     with pytest.raises(ValueError, match="no warehouse"):
         wb.load_snapshots(spark, {"WH-gone": str(tmp_path / "gone")}, wb.scan_grids)
+
+
+def test_folders_of_many_warehouses_are_one_scan(spark, tmp_path):
+    """Folders at two depths, one in another, one named twice, one by a pattern, with a column that only some have."""
+    schema = "src_file string, src_row int, file_ts timestamp_ntz, a string, b string, c string, d string, e string, f string"
+    stamp = day("2025-03-01")
+    for k, name in enumerate(["x y", "x y/inner", "z%20", *[f"w{i}" for i in range(40)]]):
+        one = spark.createDataFrame([(name, 5, stamp, None, "n", "1", "2", "m", f"c{k}")], schema)
+        (one if k else one.withColumn("error", F.lit("none"))).write.mode("append").parquet(str(tmp_path / name))
+    folders = {"A": "x y", "B": "x y/inner", "C": "z%20", "D": "z%20/", "E": "w1?", "F": "w1[12]", "gone": "gone", **{f"W{i}": f"w{i}" for i in range(40)}}
+    found = wb.load_snapshots(spark, {name: f"{tmp_path}/{place}" for name, place in folders.items()}, wb.scan_grids)
+    expected = [("A", "c0"), ("B", "c1"), ("C", "c2"), ("D", "c2"), ("F", "c14"), ("F", "c15")]
+    expected += [("E", f"c{i + 13}") for i in range(10)] + [(f"W{i}", f"c{i + 3}") for i in range(40)]
+    assert rows(found, "warehouse", "item_code") == sorted(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 2  # the rows and the headers
+
+
+def test_grids_are_stored_with_few_files_a_warehouse(spark, monkeypatch):
+    """Not one from every task: each of 32 small warehouses has a single file."""
+    seen = {}
+    monkeypatch.setattr(wb, "load_snapshots", lambda _, folders, scan: seen.update(folders))
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").repartition(8)
+    wide = lines.withColumn("l_suppkey", F.monotonically_increasing_id() % 320 * 5 + 3)
+    tables = {"lineitem": wide, "part": spark.read.parquet(f"{SF_DIR}/part.parquet")}
+    monkeypatch.setattr(fx, "table", lambda spark, d, name: tables[name])
+    queries.load_snapshots(spark, SF_DIR)
+    files = {name: len(glob.glob(f"{place.removeprefix('file:')}/*.parquet")) for name, place in seen.items()}
+    assert len(files) == 33 and files.pop("WH-none") == 0 and set(files.values()) == {1}
