@@ -46,6 +46,18 @@ def test_series_of_a_hot_item_is_spread(spark, skewed):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_placement_is_not_put_together(spark, skewed, hot):
+    """Each task of the month chain holds its rows several times over, so the session's number of tasks stays."""
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        some = skewed if hot else skewed.filter(F.col("item_code") != HOT_ITEM)
+        moved = flows.with_flows(daily.daily_snapshot(some, ["seq"]))
+        assert moved.rdd.getNumPartitions() >= 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_item_sold_everywhere_at_once_is_spread(spark):
     """All rows of the hot item are of one day, in thousands of warehouses: slices of time alone would not part them."""
     wide = spark.range(30_000).select(
