@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import SMALL_SF_DIR, rows
-from stockflow import fixtures as fx
+from stockflow import fixtures as fx, queries
 from stockflow.functions.dates import with_year_month
-from stockflow.operators import daily, flows, halo
+from stockflow.operators import daily, flows, halo, monthly
 from stockflow.operators.halo import IS_HALO, drop_halo, segment_window, with_halo
+from stockflow.operators.spikes import find_spikes
 
 KEYS, MONTH = ["item_code", "warehouse"], ["year", "month"]
 
@@ -93,3 +94,22 @@ def test_slices_follow_time_in_any_zone(spark):
         assert halo.with_slices(zoned, "k", "dt", {"x": 32}, zoned).where(F.col(halo.SLICE).isNull()).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_frequent_items_of_the_queries_are_found_without_parts(spark, monkeypatch):
+    """The pass that counts items reads order lines alone, and counts what the snapshots hold."""
+    seen = []
+    monkeypatch.setattr(flows, "frequent", lambda df, column: seen.append(df) or {})
+    queries.QUERIES["with_flows"](spark, SMALL_SF_DIR)
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    snap = fx.snap(spark, SMALL_SF_DIR).select("dt", "item_code")
+    assert seen[0].exceptAll(snap).isEmpty() and snap.exceptAll(seen[0]).isEmpty()
+
+
+def test_sorts_along_the_month_chain_are_led_by_a_hash(spark):
+    """Texts that begin alike are seldom compared."""
+    keyed = spark.createDataFrame([], "item_code string, warehouse string, dt timestamp_ntz, stock double, price double, item_name string, manufacturer string")
+    months = monthly.monthly_summary(flows.net_of_transfers(flows.with_flows(keyed)))
+    plan = find_spikes(months)._jdf.queryExecution().sparkPlan().toString()
+    specs = [line for line in plan.splitlines() if "windowspecdefinition(" in line]
+    assert len(specs) == 3 and all("windowspecdefinition(_w" in s or "windowspecdefinition(xxhash64" in s for s in specs)
